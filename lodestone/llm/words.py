@@ -38,3 +38,23 @@ def gram_hashes(hashes: np.ndarray, n: int, by: int = 0x9E3779B97F4A7C15) -> np.
         for k in range(1, n):
             total = total * np.uint64(by) + hashes[k : k + count]
     return mix(total)
+
+
+def segments(texts: list[bytes | None], words_of, size: int, reach: int):
+    """Batches of text parts: (text number, first word, words, hashes) lists of about ``size`` words.
+
+    A long text is cut into parts that share ``reach`` words, so that any run of
+    up to ``reach`` words lies whole in one part.
+    """
+    held, total = [], 0
+    for t, text in enumerate(texts):
+        words = words_of(text)
+        for offset in range(0, max(1, len(words) - reach), size):
+            if part := words[offset : offset + size + reach]:
+                held.append((t, offset, part, word_hashes(part)))
+                total += len(part)
+                if total >= size:
+                    yield held
+                    held, total = [], 0
+    if held:
+        yield held
