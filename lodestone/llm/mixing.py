@@ -15,7 +15,8 @@ and what it cannot give is shared again among the others by weight.
 At scale: the order inside a source is (hash bucket, id, hash of the text), so
 that running totals need one window per bucket and one over the bucket sums; a
 source with a third of all rows is spread over ``ORDER_BUCKETS`` tasks. Slots
-are made in chunks, so no task makes a whole source's slots. The permutation is
+are made in chunks, so no task makes a whole source's slots, and they are never
+broadcast: the plan's size estimate is that of the few source rows. The permutation is
 a swap-or-not network: a bijection on any number of indexes, computed from the
 index alone. Only one row per source passes through a single task.
 
@@ -77,7 +78,8 @@ def slots(sources: DataFrame, block_words: int = 512, seed: int = 7) -> DataFram
         .withColumn("short", size - (n - 1) * b)
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_blocks - 1) div {CHUNK}"))).alias("chunk"))
     )
-    spread = plan.repartition("rank", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, n) - 1)).alias("place"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = plan.repartition(parts, "rank", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, n) - 1)).alias("place"))
     passes = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("give div source_size"))).alias("pass"))
     length = F.when(F.col("place") == F.col("short_at"), F.col("short")).otherwise(b)
     before = F.col("place") * b - F.when(F.col("short_at") < F.col("place"), b - F.col("short")).otherwise(F.lit(0))
@@ -116,7 +118,8 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def _used() -> Column:
-    return F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - F.col("in_block")))
+    """Words of a part that a slot takes; a block without a slot gives none."""
+    return F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("take", F.lit(0)) - F.col("in_block")))
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block_words: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
@@ -126,9 +129,9 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read, _ = keep(read, "sizes")
     sources, _ = keep(source_targets(read, weights, share, most), "targets")
     placed, _ = keep(packed(read, sources), "placed")
-    joined = pieces(placed, block_words).join(slots(sources, block_words, seed=seed), ["rank", "block"], "left")
+    joined = pieces(placed, block_words).join(slots(sources, block_words, seed=seed).hint("merge"), ["rank", "block"], "left")
     key = ["id", "h", "rank", "start", "size", "source_size", "target"]
-    given = joined.groupBy(*key).agg(F.sum(F.coalesce(_used(), F.lit(0))).cast("long").alias("taken"))
+    given = joined.groupBy(*key).agg(F.sum(_used()).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
     return given.unionByName(none).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
@@ -149,6 +152,6 @@ def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(text).alias("h"), text.alias("text"))
     placed = packed(whole, sources).where("size > 0").withColumn("w", words_of(F.col("text"))).drop("text")
     parts = pieces(placed, block_words).select("id", "source", "rank", "block", "start", "first_word", "in_block", F.slice("w", F.col("first_word").cast("int") + 1, F.col("n").cast("int")).alias("part")).select("id", "source", "rank", "block", "first_word", "in_block", F.size("part").cast("long").alias("n"), F.array_join("part", " ").alias("text"))
-    joined = parts.join(slots(sources, block_words, seed=seed), ["rank", "block"]).withColumn("used", _used()).where("used > 0")
+    joined = parts.join(slots(sources, block_words, seed=seed).hint("merge"), ["rank", "block"]).withColumn("used", _used()).where("used > 0")
     cut = F.when(F.col("used") == F.col("n"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, F.col("used").cast("int")), " "))
     return joined.select(F.pmod("draw", F.lit(n_shards)).alias("shard"), "source", "pass", "place", "in_block", F.col("id").alias(id_col), "first_word", F.col("used").alias("n_words"), cut.alias(text_col))
