@@ -3,20 +3,18 @@
 A window is ``window`` consecutive words. Each word covered by a window whose
 words also start in a document with a smaller id is removed. Lengths double:
 short windows are looked up first, and only where they repeat in another
-document are windows of twice the length made; ``levels`` gives the lengths, 4,
-8 and 13 for a window of 13. The last level decides exactly.
+document are windows of twice the length made, up to the window itself; for 13
+words the lengths are 7 and 13. The last level decides exactly.
 
 The first level needs no row for every word. Of the short windows inside each
-full window only the one with the least hash is looked up (the leftmost of
-equals), which depends on those words alone, so two equal full windows look up
-the same one: if it is in no other document, neither is the full window. Later
-levels make the windows around surviving ones only.
+longer one only that with the least hash is looked up (the leftmost of equals),
+which depends on those words alone, so two equal longer windows look up the
+same one: if it is in no other document, neither is the longer window.
 
-Rows between levels are (hash, id), one for each distinct hash of a document.
-Each level deals them by hash once, and both the smallest and largest id of a
-hash and the rows themselves are read from that one exchange. A key has at most
-one row per document. Texts travel compressed, joined by id with the hashes
-that survive in them, so a document's list is never longer than the document.
+Rows between levels are (hash, id), one for each distinct hash of a document,
+so a key has at most one row per document. Each level deals its rows by hash
+once. Texts travel compressed, joined by id with the hashes that survive in
+them, so a document's list is never longer than the document.
 
 Cases: null and blank texts have no words; texts shorter than a window lose
 nothing; a null id takes no part: its text stays whole and removes nothing from
@@ -34,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import keep
@@ -43,9 +42,9 @@ SECOND = 0xD6E8FEB86659FD93
 
 
 def levels(window: int) -> list[int]:
-    """Lengths that double up to ``window``: 4, 8, 13 for 13."""
+    """Lengths that double up to ``window``, none under 5 but for short windows: 7, 13 for 13."""
     out = [window]
-    while out[0] > 7:
+    while out[0] >= 9:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -68,13 +67,13 @@ def _cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def first_level(text: bytes | None, short: int, window: int) -> np.ndarray:
+def first_level(text: bytes | None, short: int, longer: int) -> np.ndarray:
     """Distinct hashes to look up for a text."""
     words = (text or b"").split()
-    if len(words) < window:
+    if len(words) < longer:
         return np.empty(0, np.uint64)
     hashes = word_hashes(words)
-    return np.unique(gram_hashes(hashes, short)[_anchors(hashes, short, window)])
+    return np.unique(gram_hashes(hashes, short)[_anchors(hashes, short, longer)])
 
 
 def candidate_windows(hashes: np.ndarray, survivors: np.ndarray, short: int, window: int) -> np.ndarray:
@@ -88,13 +87,8 @@ def candidate_windows(hashes: np.ndarray, survivors: np.ndarray, short: int, win
     return np.flatnonzero(np.isin(grams[own], survivors))
 
 
-def _next_level(short: int, mid: int, window: int):
-    """Rows (h, g, id) of the full windows around surviving short ones.
-
-    A full window is a candidate only if the two windows of the middle length
-    that make it up contain its short one or reach it; the middle level prunes
-    nothing more than the last level decides, so both come from one look-up.
-    """
+def _next_level(short: int, longer: int):
+    """Rows (id, h, g): both hashes of the windows of twice the length around surviving ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
@@ -102,9 +96,9 @@ def _next_level(short: int, mid: int, window: int):
             for i, packed, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 hashes = word_hashes(open_(packed).split())
                 survivors = found.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                starts = candidate_windows(hashes, survivors, short, window)
+                starts = candidate_windows(hashes, survivors, short, longer)
                 if len(starts):
-                    full = np.unique(np.stack([gram_hashes(hashes, window)[starts], gram_hashes(hashes, window, SECOND)[starts]], axis=1), axis=0)
+                    full = np.unique(np.stack([gram_hashes(hashes, longer)[starts], gram_hashes(hashes, longer, SECOND)[starts]], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), i, np.int64)), pa.array(full[:, 0].copy().view(np.int64)), pa.array(full[:, 1].copy().view(np.int64))], ["id", "h", "g"])
 
     return run
@@ -121,32 +115,37 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return read.mapInArrow(run, "id long, packed binary")
 
 
-def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with the smallest and largest id of their key, if these differ."""
+def _elsewhere(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``(id, found)``: the hashes ``h`` of each id that another id has too; one exchange."""
     dealt = rows.repartition(*key)
     ends = dealt.groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return dealt.join(ends, key)
+    return dealt.join(ends, key).groupBy("id").agg(F.collect_list("h").alias("found"))
+
+
+def _earlier(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``(id, found)``: the hashes ``h`` of each id that a smaller id has too; one exchange."""
+    low = F.first("id").over(W.partitionBy(*key).orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("low", low).where("id > low").groupBy("id").agg(F.collect_list("h").alias("found"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """``(id, found)``: hashes of the windows of each document that an earlier one holds."""
     steps = levels(window)
-    short, mid = steps[0], steps[-2] if len(steps) > 2 else steps[0]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [first_level(t, short, window) for t in batch.column(1).to_pylist()]
+            found = [first_level(t, steps[0], steps[min(1, len(steps) - 1)]) for t in batch.column(1).to_pylist()]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
             if len(ids):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(found).view(np.int64))], ["id", "h"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
-    first = _repeated(read.mapInArrow(look_up, "id long, h long"), ["h"]).groupBy("id").agg(F.collect_list("h").alias("found"))
-    first, _ = keep(first, "short-windows")
-    again = _packed(docs, id_col, text_col).join(first, "id").select("id", "packed", "found")
-    full = again.mapInArrow(_next_level(short, mid, window), "id long, h long, g long")
-    last = _repeated(full, ["h", "g"]).where("id > low").groupBy("id").agg(F.collect_list("h").alias("found"))
-    return keep(last, "full-windows")[0]
+    rows, key = read.mapInArrow(look_up, "id long, h long"), ["h"]
+    for short, longer in zip(steps, steps[1:]):
+        survivors, _ = keep(_elsewhere(rows, key), f"windows-{short}")
+        around = _packed(docs, id_col, text_col).join(survivors, "id").select("id", "packed", "found")
+        rows, key = around.mapInArrow(_next_level(short, longer), "id long, h long, g long"), ["h", "g"]
+    return keep(_earlier(rows, key), f"windows-{window}")[0]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = True) -> DataFrame:
