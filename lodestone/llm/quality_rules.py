@@ -118,16 +118,25 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return keep
 
 
+def _decision(rules: tuple[Rule, ...]) -> dict[str, Column]:
+    """``base_failed`` and ``kept``.
+
+    The id, which is never negative, makes ``kept`` a column that the optimiser
+    doesn't substitute: a filter on it pushed below the measures would compute
+    each of them once for every place where it stands in the rules.
+    """
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return {"base_failed": base, "kept": ~base & verdict(rules) & (F.monotonically_increasing_id() >= 0)}
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Id, measures, ``base_failed``, ``kept`` and the names of failed rules."""
     failed = F.filter(F.array(*[F.when(~verdict((r,)), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measures(docs, {"id": F.col(id_col)}, text_col).drop("text")
-    return judged.withColumns({"base_failed": base, "kept": ~base & verdict(rules), "failed_rules": failed}).withColumnRenamed("id", id_col)
+    return judged.withColumns({**_decision(rules), "failed_rules": failed}).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measures(docs, {"row": F.struct(*[docs[c] for c in docs.columns])}, text_col)
-    return judged.where(~base & verdict(rules)).select("row.*")
+    return judged.withColumns(_decision(rules)).where("kept").select("row.*")

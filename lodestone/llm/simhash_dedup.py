@@ -31,6 +31,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -60,15 +61,16 @@ def simhash(text: bytes | None, shingle: int = 3, seed: int = 42, block: int = 1
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long, one row per input row."""
+    """``(id, h, fp)``: a hash of the text and the fingerprint, signed, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [simhash(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "h", "fp"])
 
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, fp long")
+    text = F.col(text_col).cast("string")
+    read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -168,12 +170,30 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket_limit: int =
     return found.where("mask is null").select("a", "b").unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, bucket_limit: int = 4096) -> DataFrame:
-    """One row per document: id, ``fp`` (signed long) and ``component_id``."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket_limit: int) -> DataFrame:
+    """``(id, h, fp, component_id)`` of every row."""
     fps, _ = keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     owners = fps.groupBy("fp").agg(F.min("id").alias("owner"))
     linked = connected_components(fingerprint_links(owners.select("fp"), radius, bucket_limit))
     groups = owners.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
     named = groups.groupBy("component").agg(F.min("owner").alias("component_id"))
-    ids, _ = keep(groups.join(named, "component").select("fp", "component_id"), "groups")
-    return fps.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    ids, _ = keep(groups.join(named, "component").select("fp", "component", "component_id"), "groups")
+    return fps.join(ids, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, bucket_limit: int = 4096) -> DataFrame:
+    """One row per document: id, ``fp`` (signed long) and ``component_id``."""
+    found = _grouped(docs, id_col, text_col, shingle, radius, bucket_limit)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 3, bucket_limit: int = 4096) -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest id (null last), then text hash."""
+    found = _grouped(docs, id_col, text_col, shingle, radius, bucket_limit)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    chosen = first.select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_i"), F.xxhash64(text).alias("_t"))
+    left = rows.join(chosen, rows["_i"].eqNullSafe(chosen["_id"]) & (rows["_t"] == chosen["_h"]), "left_semi")
+    copy = F.row_number().over(W.partitionBy("_i", "_t").orderBy(F.lit(0)))  # repeated rows
+    return left.withColumn("_copy", copy).where("_copy = 1").select("_row.*")
