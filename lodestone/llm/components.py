@@ -2,8 +2,7 @@
 
 Each round is two keyed aggregations and two joins over the edge table; no edge
 or label is ever gathered on the driver. After a round every component is
-closer to a star around its smallest node; the loop ends once a round changes
-nothing. Edge tables are written to the shared scratch folder between rounds,
+closer to a star around its smallest node; the loop ends once all are stars. Edge tables are written to the shared scratch folder between rounds,
 so a lost executor costs one round at most.
 """
 
@@ -27,6 +26,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each ``u`` once, and no ``v`` is a ``u`` too."""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of one orderable type to ``(node, component)``.
 
@@ -37,14 +43,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, path = keep(now, "edges")
-    before = None
-    for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
+    for done in range(max_rounds + 1):
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        before = mark
+        if done == max_rounds:
+            break
         after, new_path = keep(_small_star(_large_star(now)), "edges")
         drop(spark, path)
         now, path = after, new_path

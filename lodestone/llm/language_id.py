@@ -111,13 +111,13 @@ def _phrases(table: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.
     width = table.shape[1]
     flat, start = table.ravel(), np.maximum(table[0], 0)
     state = np.zeros(len(lengths), np.int64)
-    count = np.ones(len(lengths), np.int64)
+    count = np.zeros(len(lengths), np.int64)
     active = np.searchsorted(-lengths, -np.arange(len(symbols)), side="left")
     for t, k in enumerate(active):
         c = symbols[t, :k]
         to = flat[state[:k] * width + c]
         miss = to < 0
-        count[:k] += miss
+        count[:k] += miss | (state[:k] == 0)  # here a phrase begins
         state[:k] = np.where(miss, start[c], to)
     return count
 
