@@ -151,6 +151,34 @@ def test_search_and_context(index):
     assert tuple(L.table_stats(index).first())[0] == 9
 
 
+def test_tools_as_text(index):
+    from lodestone import tools
+
+    assert tools.get_status(index).startswith("files: 9\n")
+    assert "function signIn" in tools.find_symbol(index, "signIn") and tools.find_symbol(index, "zz").startswith("No symbol")
+    assert tools.find_references(index, "signIn").startswith("2 reference(s)") and "No references" in tools.find_references(index, "zz")
+    assert "[1] src/main.ts via src/session.ts" in tools.get_dependency_graph(index, "src/session.ts") and "not indexed" in tools.get_dependency_graph(index, "zz")
+    assert tools.get_call_graph(index, "onLeave").splitlines()[1] == "└── signOut (src/session.ts:11)"
+    assert "export async function" in tools.get_symbol_source(index, "signIn")
+    assert tools.get_project_map(index, 1).startswith("app/ (2 files, 2 exports)\n  auth/ ...")
+    assert "orphan" in tools.find_unused_code(index) and "lonely" in tools.find_unused_exports(index)
+    assert tools.search_by_pattern(index, "http_calls") == "http_calls: 1\n  src/session.ts:26 fetch in signOut"
+    assert tools.search_by_pattern(index, "zz").startswith("Unknown pattern") and "src/lib/text.ts" in tools.search_code(index, "digest")
+    assert "Imported by: src/main.ts" in tools.get_file_summary(index, "src/session.ts", 5000)
+    assert "Test: none" in tools.get_smart_context(index, "src/main.ts") and "not indexed" in tools.get_smart_context(index, "zz")
+
+
+def test_tools_on_an_empty_index(spark):
+    from lodestone import tools
+    from lodestone.schema import Index
+
+    none = Index.empty(spark)
+    assert "first run" in tools.get_changes_since_last_session(none)
+    assert tools.get_project_map(none) == "Nothing is indexed"
+    assert tools.find_unused_code(none) == "No unused code" and tools.find_unused_exports(none) == "No unused exports"
+    assert tools.search_code(none, "x").startswith("Nothing found")
+
+
 def test_sessions_and_increments(spark, project):
     root, store, _ = project
     config = conf.Config(exclude=["**/*.test.*"])
