@@ -125,5 +125,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND {' AND '.join(bounds)} AS kept FROM b"""
 
 
+_OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM s),
+m AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k),
+c AS (SELECT DISTINCT r, i + o AS p FROM g JOIN m USING (k), range(13) t(o) WHERE doc_id > low),
+u AS (SELECT r, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM d),
+l AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS kept FROM u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.r = u.r AND c.p = u.p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op4_substring_dedup": _OP4_SQL}
