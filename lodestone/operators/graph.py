@@ -35,7 +35,7 @@ def dependency_levels(edges: DataFrame, root: str, direction: str = "dependents"
         reached = frontier.join(steps, F.col("path") == F.col("at")).select("to", F.col("path").alias("via"), "rank", "seq").join(seen, F.col("to") == seen["path"], "left_anti")
         first = W.partitionBy("to").orderBy("rank", "seq", "via")
         fresh = reached.withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("to").alias("path"), F.lit(level).alias("depth"), "via", "rank", "seq").persist()
-        if fresh.isEmpty():
+        if not fresh.count():  # fills the cache in one job
             break
         found = found.unionByName(fresh.select("path", "depth", "via"))
         seen = seen.unionByName(fresh.select("path"))
