@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def scratch_root(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         root = getattr(spark.sparkContext, "_lodestone_scratch", None)
         if root is None:
-            root = spark.sparkContext._lodestone_scratch = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = spark.sparkContext._lodestone_scratch = f"file://{folder}"
         return root
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
