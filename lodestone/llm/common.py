@@ -43,10 +43,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there.
+
+    The plan behind it is garbage then; Spark deletes its shuffle files once the
+    driver's JVM notices, which is asked for here so that they don't pile up.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
