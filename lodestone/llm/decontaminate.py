@@ -11,11 +11,11 @@ find every such pair.
 
 A candidate is verified on the words it aligns: the share of the item's
 distinct five-word shingles found there, each weighing ln(1 + items / items
-with it), has to reach ``similarity``. An item shorter than a shingle is one.
+with it), has to reach ``similarity``. These counts are of the whole benchmark. An item shorter than a shingle is one.
 
 The benchmark is read on the driver in slices of at most ``SLICE_ITEMS`` items
-and ``SLICE_BYTES`` of text, and only a slice is sent to the executors. Nothing
-is shuffled. Documents are searched in segments of bounded size.
+and ``SLICE_BYTES`` of text, and only a slice is sent to the executors. Only the
+benchmark's shingles are shuffled, to count them. Documents are searched in segments of bounded size.
 
 Words: A-Z lower-cased, ASCII punctuation deleted. Cases: null and blank texts
 match nothing, as do items without a word; repeated rows and ids are judged as
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import keep
 from lodestone.llm.words import gram_hashes, plain_words, word_hashes
 
 SHINGLE = 5
@@ -91,11 +92,13 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return gram_hashes(hashes, min(SHINGLE, len(hashes)))
 
 
-def build_index(items: list[tuple[object, bytes | None]]) -> Index:
+def build_index(items: list[tuple[object, bytes | None]], seen: dict[int, int] | None = None, total: int | None = None) -> Index:
+    """``seen`` holds in how many of all ``total`` items a shingle is, if in several; without it ``items`` are all."""
     hashed = [(i, word_hashes(w)) for i, t in items if (w := plain_words(t))]
     shingles = [np.unique(_shingles(h)) for _, h in hashed]
-    seen = Counter(x for s in shingles for x in s.tolist())
-    weights = [np.log1p(len(hashed) / np.array([seen[x] for x in s.tolist()])) for s in shingles]
+    seen = Counter(x for s in shingles for x in s.tolist()) if seen is None else seen
+    total = len(hashed) if total is None else total
+    weights = [np.log1p(total / np.array([seen.get(x, 1) for x in s.tolist()])) for s in shingles]
     by_size: dict[int, list[int]] = {}
     for k, (_, h) in enumerate(hashed):
         by_size.setdefault(window_size(len(h)), []).append(k)
@@ -186,16 +189,32 @@ def search(index: Index, texts: list[bytes | None], similarity: float) -> list[l
     return [[(index.ids[k], s, at, int(index.lengths[k])) for k, (s, at) in sorted(found.items())] for found in best]
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(row, h)``: the distinct shingles of each item."""
+    for batch in batches:
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if words := plain_words(text):
+                found = np.unique(_shingles(word_hashes(words))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row, np.int64)), pa.array(found)], ["row", "h"])
+
+
 def _slices(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    held, size = [], 0
-    for row in bench.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).toLocalIterator():
+    text = F.col(text_col).cast("string").cast("binary")
+    items, _ = keep(bench.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("t")), "items")
+    shingles, _ = keep(items.select("row", "t").mapInArrow(_item_shingles, "row long, h long"), "item-shingles")
+    total = shingles.select("row").distinct().count()
+    several = shingles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = shingles.join(several, "h").groupBy("row").agg(F.collect_list("h").alias("h"), F.collect_list("n").alias("n"))
+    held, seen, size = [], {}, 0
+    for row in items.join(counted, "row", "left").select("id", "t", "h", "n").toLocalIterator():
         held.append((row["id"], bytes(row["t"]) if row["t"] is not None else None))
+        seen.update(zip((h & (1 << 64) - 1 for h in row["h"] or ()), row["n"] or ()))
         size += len(row["t"] or b"")
         if len(held) >= SLICE_ITEMS or size >= SLICE_BYTES:
-            yield build_index(held)
-            held, size = [], 0
+            yield build_index(held, seen, total)
+            held, seen, size = [], {}, 0
     if held:
-        yield build_index(held)
+        yield build_index(held, seen, total)
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
