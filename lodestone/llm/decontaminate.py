@@ -1,10 +1,9 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
 Every benchmark item of ``n`` words belongs to a window size ``m`` a little
-below ``n``. Documents are cut into windows of each size in use, at a stride so
-short that any stretch of ``n`` words holds a whole window; the item side keeps
-the fingerprints of all its windows of that size, so a copy meets its item at
-the same offset. A window whose fingerprint is within ``RADIUS`` bits of an
+below ``n``. Every window of each size in use is looked up in documents, and the
+item side keeps the fingerprints of all its windows of that size, so an edited
+copy meets its item at the offset at which it differs least. A window whose fingerprint is within ``RADIUS`` bits of an
 item's is a candidate: of four 16-bit blocks at least one then differs in at
 most one bit, so tables of all block values one bit around the items' blocks
 find every such pair.
@@ -71,7 +70,6 @@ class Size:
     """The items of one window size."""
 
     m: int
-    stride: int
     fps: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
@@ -117,17 +115,16 @@ def build_index(items: list[tuple[object, bytes | None]], seen: dict[int, int] |
             near = np.concatenate([block] + [block ^ (1 << i) for i in range(16)])
             order = np.argsort(near, kind="stable")
             tables.append((np.searchsorted(near[order], np.arange(65537)), np.tile(np.arange(len(fp)), 17)[order]))
-        stride = min(len(hashed[k][1]) for k in members) - m + 1
-        sizes.append(Size(m, stride, fp, np.concatenate(own), np.concatenate(at), tables))
+        sizes.append(Size(m, fp, np.concatenate(own), np.concatenate(at), tables))
     lengths = np.array([len(h) for _, h in hashed], np.int64)
     return Index([i for i, _ in hashed], lengths, shingles, weights, sizes, int(lengths.max(initial=0)) * 2 + SHINGLE)
 
 
-def _candidates(index: Index, running: np.ndarray, owner: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+def _candidates(index: Index, running: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Distinct (word index of the aligned start, item) pairs; the start may lie before 0."""
     found = []
     for size in index.sizes:
-        at = np.flatnonzero(place[: max(0, n - size.m + 1)] % size.stride == 0)
+        at = np.arange(max(0, n - size.m + 1))
         at = at[owner[at] == owner[at + size.m - 1]]
         if not len(at):
             continue
@@ -159,9 +156,8 @@ def search(index: Index, texts: list[bytes | None], similarity: float) -> list[l
             hashes = np.concatenate([h for _, _, h in parts])
             owner = np.repeat(np.arange(len(parts)), [len(h) for _, _, h in parts])
             base = np.cumsum([0, *(len(h) for _, _, h in parts)])
-            place = np.concatenate([np.arange(o, o + len(h)) for _, o, h in parts])
             done = set()
-            for start, item, window in _candidates(index, _bits(hashes), owner, place, len(hashes)).tolist():
+            for start, item, window in _candidates(index, _bits(hashes), owner, len(hashes)).tolist():
                 p = int(owner[window])
                 if (p, start, item) in done:
                     continue
