@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.license_templates import general_templates
 from lodestone.llm.words import gram_hashes, mix, plain_words, segments, word_hashes
 
 SHINGLE = 5
@@ -55,6 +56,9 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
 
+#: What is scanned for by default.
+ALL_TEMPLATES = TEMPLATES | general_templates()
+
 
 def window_size(n: int) -> int:
     """Window size of a template of ``n`` words: itself up to 15, else 12, 18, 27, ..., at most 0.8 n."""
@@ -180,7 +184,7 @@ def search(index: Index, texts: list[bytes | None], containment: float) -> list[
     return [[(index.names[k], s, at, index.lengths[k]) for k, (s, at) in sorted(found.items())] for found in best]
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] = ALL_TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
     """``(id, license, containment, first_word, n_words)`` of every template in every document."""
     sent = docs.sparkSession.sparkContext.broadcast(build_index(templates))
 
