@@ -40,9 +40,11 @@ def callers(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame
     return calls.join(who, "caller_symbol_id").join(files.select("file_id", "path"), "file_id").select("callee_name", "caller", "path", "line")
 
 
-def find_references(symbols: DataFrame, files: DataFrame, imports: DataFrame, calls: DataFrame, symbol: str, file: str | None = None, limit: int = 500) -> DataFrame:
+def find_references(symbols: DataFrame, files: DataFrame, imports: DataFrame, calls: DataFrame, symbol: str, file: str | None = None, limit: int | None = 500) -> DataFrame:
     """Imports and calls of a symbol: ``(kind, path, line, context)``, each place once.
 
+    ``limit`` is for each of the two; None is none.
+
     Definitions match without regard to case; ``file`` narrows them, and so the
     imports, but not the calls. Imported and called names match exactly.
     """
@@ -53,8 +55,10 @@ def find_references(symbols: DataFrame, files: DataFrame, imports: DataFrame, ca
     names = [symbol, f"* as {symbol}"]
     imported = importers_of(imports, files).where(F.col("symbol").isin(names)).join(home, "from_path", "left_semi")
     called = callers(calls, symbols, files).where(F.col("callee_name").isin(symbol, f"this.{symbol}"))
-    a = imported.select(F.lit("import").alias("kind"), "path", F.lit(None).cast("int").alias("line"), F.col("symbol").alias("context")).distinct().orderBy("path", "context").limit(limit)
-    b = called.select(F.lit("call").alias("kind"), "path", "line", F.col("caller").alias("context")).distinct().orderBy("path", "line", "context").limit(limit)
+    a = imported.select(F.lit("import").alias("kind"), "path", F.lit(None).cast("int").alias("line"), F.col("symbol").alias("context")).distinct()
+    b = called.select(F.lit("call").alias("kind"), "path", "line", F.col("caller").alias("context")).distinct()
+    if limit is not None:
+        a, b = a.orderBy("path", "context").limit(limit), b.orderBy("path", "line", "context").limit(limit)
     return a.unionByName(b)
 
 

@@ -108,7 +108,7 @@ def find_references(spark, d):
     names = part.select(F.col("p_partkey").alias("symbol_id"), F.xxhash64("p_brand").alias("file_id"), F.col("p_name").alias("name"))
     imports = line.where("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey")).join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.xxhash64("p_brand").alias("file_id"), F.col("o_orderpriority").alias("symbol"), F.col("c_mktsegment").alias("from_path"), F.lit(False).alias("is_type_only"), F.lit(False).alias("is_external"), F.col("l_linenumber").alias("seq"))
     calls = line.where("l_linestatus = 'O' and l_returnflag = 'A'").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("caller_symbol_id"), F.lit("this.2-HIGH").alias("callee_name"), F.xxhash64("p_brand").alias("file_id"), F.col("l_linenumber").alias("line"))
-    found = L.find_references(home.unionByName(names), files, imports, calls, "2-HIGH", limit=1_000_000)
+    found = L.find_references(home.unionByName(names), files, imports, calls, "2-HIGH", limit=None)
     return found.withColumn("line", F.coalesce("line", F.lit(0)))
 
 
