@@ -42,17 +42,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
-    The plan behind it is garbage then; Spark deletes its shuffle files once the
-    driver's JVM notices, which is asked for here so that they don't pile up.
+    The shuffle files of the write go with it. ``by`` names a column to bucket the
+    table by, so that later joins on it move only their other side.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path), path
+    path, cleanup = scratch_path(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        write = df.write.option("compression", "zstd")
+        if by is None:
+            write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path), path
+        name = f"lodestone_{path.rsplit('-', 1)[1]}"
+        write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
+        return spark.table(name), path
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
 
 
 def drop(spark: SparkSession, path: str) -> None:

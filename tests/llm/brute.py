@@ -109,3 +109,12 @@ def edit_similarity(a, b):
         for j, y in enumerate(b, 1):
             row[j] = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (x != y))
     return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def similar_lines(a, b, similarity=0.8):
+    """Whether normalised lines are similar by words or, up to 128 characters, by characters, and their numbers don't differ."""
+    numbers = [re.findall(r"[^\W\d_]*(\d+)", x) for x in (a, b)]
+    if all(numbers) and numbers[0] != numbers[1]:
+        return False
+    short = max(len(a), len(b)) <= 128 and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) + 1e-9
+    return edit_similarity(a.split(), b.split()) >= similarity - 1e-9 or (short and edit_similarity(a, b) >= similarity - 1e-9)
