@@ -40,7 +40,10 @@ SHINGLE = 5
 RADIUS = 7
 SLICE_ITEMS = 4096
 SLICE_BYTES = 16 << 20
-SEGMENT = 40_000
+SEGMENT = 12_000
+
+#: Bits of the hash under which the shingles of a slice are noted.
+KNOWN = 20
 
 
 def window_size(n: int) -> int:
@@ -53,16 +56,29 @@ def window_size(n: int) -> int:
     return size
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Running counts of the set bits, one row ahead of each word; they wrap."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((len(hashes) + 1, 64), np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
-    return out
+def _window_fps(hashes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Fingerprints of all windows of each size: a bit is set if set in over half of the words' hashes.
 
-
-def _window_fps(running: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    return np.packbits((running[starts + m] - running[starts]) > m // 2, axis=1, bitorder="little").view(np.uint64).ravel()
+    Counts of windows of 1, 2, 4, 8, ... words are doubled, and each size is put together of them.
+    """
+    sizes = [m for m in sizes if m <= len(hashes)]
+    if not sizes:
+        return {}
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = {m: None for m in sizes}
+    power, step = bits if max(sizes) < 256 else bits.astype(np.uint32), 1
+    out = {}
+    while True:
+        for m in sizes:
+            if m & step:
+                done = m & (step - 1)  # words that the sum already covers
+                count = len(hashes) - (done + step) + 1
+                sums[m] = power[:count] if sums[m] is None else sums[m][:count] + power[done : done + count]
+                if done + step == m:
+                    out[m] = np.packbits(sums[m] > m // 2, axis=1, bitorder="little").view(np.uint64).ravel()
+        if step * 2 > max(sizes):
+            return out
+        power, step = power[:-step] + power[step:], step * 2
 
 
 @dataclass
@@ -73,7 +89,7 @@ class Size:
     fps: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray]]
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass
@@ -84,6 +100,16 @@ class Index:
     weights: list[np.ndarray]
     sizes: list[Size]
     reach: int
+    known: np.ndarray
+
+
+def _block(fps: np.ndarray, b: int) -> np.ndarray:
+    """A 16-bit block of each fingerprint."""
+    return np.ascontiguousarray((fps >> np.uint64(16 * b)).astype(np.uint16))
+
+
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return shingles >> np.uint64(64 - KNOWN)
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -105,42 +131,47 @@ def build_index(items: list[tuple[object, bytes | None]], seen: dict[int, int] |
         fps, own, at = [], [], []
         for k in members:
             starts = np.arange(len(hashed[k][1]) - m + 1)
-            fps.append(_window_fps(_bits(hashed[k][1]), starts, m))
+            fps.append(_window_fps(hashed[k][1], [m])[m])
             own.append(np.full(len(starts), k))
             at.append(starts)
         fp = np.concatenate(fps)
         tables = []
         for b in range(4):
-            block = ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            block = _block(fp, b).astype(np.int64)
             near = np.concatenate([block] + [block ^ (1 << i) for i in range(16)])
             order = np.argsort(near, kind="stable")
-            tables.append((np.searchsorted(near[order], np.arange(65537)), np.tile(np.arange(len(fp)), 17)[order]))
+            first = np.searchsorted(near[order], np.arange(65537))
+            tables.append((first, np.diff(first) > 0, np.tile(np.arange(len(fp)), 17)[order]))
         sizes.append(Size(m, fp, np.concatenate(own), np.concatenate(at), tables))
     lengths = np.array([len(h) for _, h in hashed], np.int64)
-    return Index([i for i, _ in hashed], lengths, shingles, weights, sizes, int(lengths.max(initial=0)) * 2 + SHINGLE)
+    known = np.zeros(1 << KNOWN, bool)
+    for s in shingles:
+        known[_slot(s)] = True
+    return Index([i for i, _ in hashed], lengths, shingles, weights, sizes, int(lengths.max(initial=0)) * 2 + SHINGLE, known)
 
 
-def _candidates(index: Index, running: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Distinct (word index of the aligned start, item) pairs; the start may lie before 0."""
+def _candidates(index: Index, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct (word index of the aligned start, item, word index of the window) rows; the start may lie before 0."""
     found = []
+    windows = _window_fps(hashes, [s.m for s in index.sizes])
     for size in index.sizes:
-        at = np.arange(max(0, n - size.m + 1))
-        at = at[owner[at] == owner[at + size.m - 1]]
-        if not len(at):
+        if size.m not in windows:
             continue
-        fps = _window_fps(running, at, size.m)
-        for b, (first, entries) in enumerate(size.tables):
-            block = ((fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            counts = first[block + 1] - first[block]
-            hit = np.flatnonzero(counts)
+        fps = windows[size.m]
+        for b, (first, there, entries) in enumerate(size.tables):
+            block = _block(fps, b)
+            hit = np.flatnonzero(there[block])
             if not len(hit):
                 continue
-            each = counts[hit]
+            low = first[block[hit]]
+            each = first[block[hit].astype(np.int64) + 1] - low
             window = np.repeat(hit, each)
-            entry = entries[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[block[hit]], each)]
+            entry = entries[np.arange(len(window)) + np.repeat(low - np.cumsum(each) + each, each)]
             near = np.bitwise_count(fps[window] ^ size.fps[entry]) <= RADIUS
             window, entry = window[near], entry[near]
-            found.append(np.stack([at[window] - size.offsets[entry], size.items[entry], at[window]], axis=1))
+            whole = owner[window] == owner[window + size.m - 1]
+            window, entry = window[whole], entry[whole]
+            found.append(np.stack([window - size.offsets[entry], size.items[entry], window], axis=1))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
 
@@ -157,14 +188,19 @@ def search(index: Index, texts: list[bytes | None], similarity: float) -> list[l
             owner = np.repeat(np.arange(len(parts)), [len(h) for _, _, h in parts])
             base = np.cumsum([0, *(len(h) for _, _, h in parts)])
             done = set()
-            for start, item, window in _candidates(index, _bits(hashes), owner, len(hashes)).tolist():
-                p = int(owner[window])
+            grams = gram_hashes(hashes, SHINGLE)
+            # How many shingles up to a word may be of an item; a place without any can't hold one.
+            seen = np.concatenate([[0], np.cumsum(index.known[_slot(grams)])])
+            rows = _candidates(index, hashes, owner)
+            own, n = owner[rows[:, 2]], index.lengths[rows[:, 1]]
+            slack = n // 10 + 1
+            lows, highs = np.maximum(base[own], rows[:, 0] - slack), np.minimum(base[own + 1], rows[:, 0] + n + slack)
+            ends = np.clip(highs - SHINGLE + 1, 0, len(grams))
+            some = (n < SHINGLE) | (seen[np.maximum(ends, np.minimum(lows, len(grams)))] > seen[np.minimum(lows, len(grams))])
+            for (start, item, _), p, n, low, high in zip(rows[some].tolist(), own[some].tolist(), n[some].tolist(), lows[some].tolist(), highs[some].tolist()):
                 if (p, start, item) in done:
                     continue
                 done.add((p, start, item))
-                n = int(index.lengths[item])
-                slack = n // 10 + 1
-                low, high = max(base[p], start - slack), min(base[p + 1], start + n + slack)
                 there = gram_hashes(hashes[low:high], min(SHINGLE, n))
                 share = float(index.weights[item][np.isin(index.shingles[item], there)].sum() / index.weights[item].sum())
                 t, offset, _ = parts[p]

@@ -227,7 +227,7 @@ def test_multi_index_finds_all_within_the_radius():
     size = index.sizes[0]
     for _ in range(300):
         fp = int(size.fps[0]) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7)))
-        assert any(0 in entries[first[v] : first[v + 1]] for b, (first, entries) in enumerate(size.tables) for v in [fp >> 16 * b & 0xFFFF])
+        assert any(0 in entries[first[v] : first[v + 1]] for b, (first, _, entries) in enumerate(size.tables) for v in [fp >> 16 * b & 0xFFFF])
 
 
 def test_licenses(spark, empty):
