@@ -1,6 +1,6 @@
 """Command line: ``python -m lodestone [--init | --status] [--local] [--watch] [--verbose] [path]``.
 
-Indexes the project around ``path``. ``--watch`` keeps comparing listings and
+Indexes the project around ``path``. ``--watch`` streams the tree's events and
 reindexes what changed until interrupted; a session brackets each run.
 """
 
@@ -14,14 +14,13 @@ from pyspark.sql import SparkSession
 
 from lodestone import tools
 from lodestone.logs import session_log
-from lodestone.plans.index import index_project
+from lodestone.plans.index import apply_events
+from lodestone.project import Project
 from lodestone.session import ship
 from lodestone.sources import config as conf
-from lodestone.sources.scan import listing, selected
 from lodestone.sources.store import Store
-from lodestone.streaming.events import listing_events
-
-WAIT_S = 1.0
+from lodestone.streaming.events import watch
+from lodestone.streaming.source import tree_events
 
 
 def main() -> None:
@@ -39,27 +38,22 @@ def main() -> None:
     log = session_log(os.path.join(at, "logs"), args.verbose)
     spark = SparkSession.builder.appName("lodestone").getOrCreate()
     ship(spark)
-    store = Store(spark, f"file://{os.path.abspath(at)}/tables")
     if args.status:
-        print(tools.get_status(store.read()))
+        print(tools.get_status(Store(spark, f"file://{os.path.abspath(at)}/tables").read()))
         return
     ms = lambda: int(time.time() * 1000)
-    session = store.start_session(ms())
+    project = Project.open(spark, root, ms(), "local" if args.local else None)
     try:
-        log.info("indexed %s", index_project(spark, root, store, ms(), config))
-        print(tools.get_status(store.read()))
-        before = selected(listing(spark, root), config)
-        while args.watch:
-            time.sleep(WAIT_S)
-            after = selected(listing(spark, root), config)
-            changed = [r["path"] for r in listing_events(before, after).collect()]  # of one interval
-            if changed:
-                log.info("indexed %s", index_project(spark, root, store, ms(), config, paths=changed))
-            before = after
+        log.info("indexed %s", project.counts)
+        print(tools.get_status(project.store.read()))
+        if args.watch:
+            state = os.path.join(at, f"watch-{project.session}")
+            events = tree_events(spark, root, os.path.join(state, "listings"))
+            watch(events, apply_events(spark, root, project.store, ms()), f"file://{os.path.abspath(state)}/checkpoint").awaitTermination()
     except KeyboardInterrupt:
         pass
     finally:
-        store.end_session(session, ms())
+        project.close(ms())
         spark.stop()
 
 

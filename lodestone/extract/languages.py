@@ -118,7 +118,7 @@ def extract_typescript(text: str) -> dict:
         if is_exported and (s.is_(i, "{", "*") or (s.is_(i, "type") and s.is_(i + 1, "{"))):
             end = statement_end(i)
             i += s.is_(i, "type")
-            if s.is_(i, "{") and s.is_(s.tokens[i].match + 1, "from"):
+            if s.is_(i, "{") and s.is_(s.tokens[i].match + 1, "from") and s.tokens[i].match + 2 < n:
                 path, k = _quoted(s.tokens[s.tokens[i].match + 2].text), i + 1
                 while k < s.tokens[i].match:
                     if s.name(k):

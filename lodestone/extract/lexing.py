@@ -30,6 +30,8 @@ class Source:
 
     def text_of(self, i: int, j: int) -> str:
         """Source text from token ``i`` up to token ``j``, which is left out."""
+        if i >= len(self.tokens):  # an unfinished file
+            return ""
         end = self.tokens[j].at if j < len(self.tokens) else len(self.text)
         return self.text[self.tokens[i].at : end].strip()
 
@@ -76,6 +78,8 @@ def scan(text: str, rules: str) -> Source:
 
 def skip(source: Source, i: int) -> int:
     """Index after the token at ``i``, or after its whole bracket."""
+    if i >= len(source.tokens):
+        return i + 1
     t = source.tokens[i]
     return max(t.match, i) + 1 if t.text in OPEN and t.kind == "sign" else i + 1
 

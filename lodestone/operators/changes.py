@@ -58,6 +58,12 @@ def changes(now: DataFrame, before: DataFrame) -> DataFrame:
     )
 
 
+def iso_time(ms: Column) -> Column:
+    """Milliseconds since 1970 as ISO 8601 in UTC; ``unknown`` for null."""
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18, 6)"))
+    return F.coalesce(F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")), F.lit("unknown"))
+
+
 def last_snapshot(sessions: DataFrame) -> DataFrame:
     """The newest session that was closed with a snapshot; an open one doesn't hide it."""
     return sessions.where("file_snapshot is not null").orderBy(F.desc("session_id")).limit(1)

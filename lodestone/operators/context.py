@@ -9,13 +9,18 @@ from lodestone.functions.text import age_text, name_matches
 from lodestone.operators.lookup import importers_of
 
 
-def file_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame, path: str) -> DataFrame:
-    """Imports of a file with what they resolve to: one row for each same-named symbol there."""
-    home = files.where(F.col("path") == path).select("file_id")
+def with_targets(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Imports with what they resolve to: one row for each same-named symbol in the file they name."""
     target = files.select(F.col("file_id").alias("to_id"), F.col("path").alias("from_path"))
     at = symbols.select(F.col("file_id").alias("to_id"), F.col("name").alias("symbol"), "kind", "signature", "start_line")
+    return imports.join(target, "from_path", "left").join(at, ["to_id", "symbol"], "left").select("file_id", "seq", "symbol", "from_path", "is_type_only", "is_external", "kind", "signature", "start_line")
+
+
+def file_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame, path: str) -> DataFrame:
+    """Imports of one file with what they resolve to, in order."""
+    home = files.where(F.col("path") == path).select("file_id")
     own = imports.join(F.broadcast(home), "file_id", "left_semi")  # one row
-    return own.join(target, "from_path", "left").join(at, ["to_id", "symbol"], "left").select("seq", "symbol", "from_path", "is_type_only", "is_external", "kind", "signature", "start_line").orderBy("seq", "start_line")
+    return with_targets(own, files, symbols).drop("file_id").orderBy("seq", "start_line")
 
 
 def candidate_tests(path: str) -> list[str]:
@@ -80,17 +85,17 @@ def source_lines(content: Column, start: Column, end: Column) -> Column:
 def doc_start(content: Column, start: Column) -> Column:
     """First line of the comment block right above ``start``, or ``start``."""
     above = F.reverse(F.slice(F.split(content, "\n", -1), 1, start - 1))
-    is_doc = lambda x: F.trim(x).rlike(r"^(/\*\*|\*|//)")
+    is_doc = lambda x: x.rlike(r"^\s*(/\*\*|\*|//)")
     run = F.aggregate(above, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & is_doc(x)).cast("int")).alias("n"), (s["on"] & is_doc(x)).alias("on")))
     return start - run["n"]
 
 
 def symbol_source(index, symbol: str, file: str | None = None) -> DataFrame:
-    """``(path, name, kind, from_line, to_line, source)`` of the matching definitions."""
+    """``(path, name, kind, is_exported, signature, start_line, from_line, to_line, source)`` of the matching definitions."""
     hit = index.symbols.where(name_matches(F.col("name"), symbol)).join(index.files.select("file_id", "path"), "file_id")
     if file:
         hit = hit.where(F.col("path") == file)
     read = hit.join(index.contents, "file_id")
     begin = F.when(F.coalesce("doc", F.lit("")) != "", doc_start(F.col("content"), F.col("start_line"))).otherwise(F.col("start_line"))
     placed = read.withColumn("from_line", begin)
-    return placed.select("path", "name", "kind", "from_line", F.col("end_line").alias("to_line"), F.array_join(source_lines(F.col("content"), F.col("from_line"), F.col("end_line")), "\n").alias("source")).orderBy("name", "path", "from_line")
+    return placed.select("path", "name", "kind", "is_exported", "signature", "start_line", "from_line", F.col("end_line").alias("to_line"), F.array_join(source_lines(F.col("content"), F.col("from_line"), F.col("end_line")), "\n").alias("source")).orderBy("name", "path", "from_line")

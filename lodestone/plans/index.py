@@ -7,6 +7,8 @@ exploded into the tables. Per-file rows are replaced by anti-join and union.
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,11 +23,16 @@ from lodestone.plans.resolve import resolved
 from lodestone.schema import EXTRACTED, Index, schema
 from lodestone.sources import config as conf
 from lodestone.sources.scan import contents, listing, selected
-from lodestone.sources.store import PER_FILE, Store, last_wins, without_files
+from lodestone.sources.store import PER_FILE, Store, invalidated, last_wins, without_files
+
+log = logging.getLogger(__name__)
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """``(path, lang, x)`` from ``(path, content)``: what each file's extractor found."""
+    """``(path, lang, x, error)`` from ``(path, content)``: what each file's extractor found.
+
+    A file on which its extractor fails has a null ``x`` and the error's text; the others go on.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
@@ -33,19 +40,32 @@ def extracted(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [extract(k, t or "") for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["path", "lang", "x"])
+            found, errors = [], []
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                try:
+                    found.append(extract(lang, text or ""))
+                    errors.append(None)
+                except Exception as error:  # extractors may be plugged in: any failure is one file's own
+                    found.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(errors, pa.string())], ["path", "lang", "x", "error"])
 
-    return files.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(run, f"path string, lang string, x {EXTRACTED}")
+    return files.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(run, f"path string, lang string, x {EXTRACTED}, error string")
 
 
 def file_id(path="path"):
     return F.xxhash64(path)
 
 
-def tables_of(read: DataFrame, whole: DataFrame, aliases: tuple = (None, []), module: str | None = None, now_ms: int = 0) -> Index:
-    """Index tables of the files ``read(path, content, mtime, hash)``; ``whole`` lists the tree for imports."""
+def without_failed(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``read(path, content, ...)`` without the files on which extraction fails, these as ``(path, error)``, and what was found."""
     found = extracted(read).persist()
+    failed = found.where("error is not null").select("path", "error")
+    return read.join(failed, "path", "left_anti"), failed, found.where("error is null").drop("error")
+
+
+def tables_of(read: DataFrame, found: DataFrame, whole: DataFrame, aliases: tuple = (None, []), module: str | None = None, now_ms: int = 0) -> Index:
+    """Index tables of the files ``read(path, content, mtime, hash)`` and of what was ``found`` in them; ``whole`` lists the tree for imports."""
     files = read.select(file_id().alias("file_id"), "path", "hash", "mtime", line_count(F.col("content")).alias("lines"), F.lit(now_ms).cast("long").alias("indexed_at"))
     rows = lambda part: found.select("path", "lang", F.posexplode(f"x.{part}").alias("seq", "r")).select("path", "lang", "seq", "r.*")
     key = ["path", "name", "kind", "start_line"]
@@ -73,14 +93,14 @@ def with_idf(index: Index) -> Index:
 
 
 def index_project(spark: SparkSession, root: str, store: Store, now_ms: int = 0, config: conf.Config | None = None, paths: list[str] | None = None, refresh_idf: bool = True) -> dict[str, int]:
-    """Bring the store up to date with the tree; returns counts of indexed, skipped, removed files.
+    """Bring the store up to date with the tree; returns counts of indexed, skipped, removed and failed files, and the time in ms.
 
-    Only files whose time, then content, changed are parsed. Files that the
+    A file on which extraction fails keeps what is stored of it and is tried again by the next run. Only files whose time, then content, changed are parsed. Files that the
     configuration now leaves out are removed with those that are gone. ``paths``
     limits the run to some files; ``refresh_idf=False`` leaves term weights as
     they are.
     """
-    config = config or conf.load_config(root)
+    config, began = config or conf.load_config(root), time.monotonic()
     old, whole = store.read(), listing(spark, root).persist()
     wanted = selected(whole, config)
     status = file_status(wanted, old.files, config.max_file_size)
@@ -91,7 +111,11 @@ def index_project(spark: SparkSession, root: str, store: Store, now_ms: int = 0,
     text = contents(spark, root, due).join(whole.select("path", "mtime"), "path").withColumn("hash", content_hash(F.col("content")))
     told = content_status(text, old.files).persist()
     fresh = told.where("not touched").drop("touched")
-    new = tables_of(fresh, whole, conf.ts_aliases(root), conf.go_module(root), now_ms)
+    fresh, failed, found = without_failed(fresh)
+    errors = failed.collect()  # of one tree
+    for r in errors:
+        log.warning("error indexing %s: %s", r["path"], r["error"])
+    new = tables_of(fresh, found, whole, conf.ts_aliases(root), conf.go_module(root), now_ms)
     gone = status.where("status = 'removed'").select(F.xxhash64("path").alias("file_id"))
     changed = fresh.select(F.xxhash64("path").alias("file_id"))
     drop = gone.unionByName(changed)
@@ -99,10 +123,24 @@ def index_project(spark: SparkSession, root: str, store: Store, now_ms: int = 0,
     again = told.where("touched").select("path", F.col("mtime").alias("seen"))
     merged["files"] = merged["files"].join(again, "path", "left").withColumn("mtime", F.coalesce("seen", "mtime")).drop("seen").select(*schema("files").fieldNames())
     index = Index(**merged, idf=old.idf, sessions=old.sessions)
-    store.write(with_idf(index) if refresh_idf else index)
+    indexed, touched = fresh.count(), not told.where("touched").isEmpty()
+    if indexed or touched or not gone.isEmpty():
+        store.write(with_idf(index) if refresh_idf else index, [*PER_FILE, "idf"])
+    elif refresh_idf:
+        store.write(with_idf(index), ["idf"])
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-    indexed = fresh.count()
-    return {"indexed": indexed, "skipped": sum(counts.values()) - indexed - counts.get("removed", 0), "removed": counts.get("removed", 0)}
+    for df in (whole, status, told, found):
+        df.unpersist()
+    gone_count = counts.get("removed", 0)
+    return {"indexed": indexed, "skipped": sum(counts.values()) - indexed - gone_count - len(errors), "removed": gone_count, "errors": len(errors), "time_ms": round(1000 * (time.monotonic() - began))}
+
+
+def reindex(spark: SparkSession, root: str, store: Store, path: str | None = None, now_ms: int = 0, config: conf.Config | None = None) -> dict[str, int]:
+    """Read one file, or all, again whatever its time; the counts of ``index_project``."""
+    index = store.read()
+    index.files = invalidated(index.files, path)
+    store.write(index, ["files"])
+    return index_project(spark, root, store, now_ms, config, paths=None if path is None else [path])
 
 
 def apply_events(spark: SparkSession, root: str, store: Store, now_ms: int = 0, refresh_idf: bool = True):

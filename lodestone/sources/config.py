@@ -17,10 +17,8 @@ DEFAULT_INCLUDE = ["src/", "lib/", "app/", "packages/"]
 DEFAULT_EXCLUDE = ["**/*.test.*", "**/*.spec.*", "**/__tests__/**", "**/*_test.go", "**/test_*.py", "**/*_test.py"]
 KNOWN_LANGUAGES = ("typescript", "tsx", "javascript", "python", "go", "rust", "java", "c_sharp")
 ROOT_MARKERS = ("package.json", "go.mod", "Cargo.toml", "pyproject.toml")
-IGNORED_DIRS = {
-    "node_modules", "dist", "build", "out", "coverage", "vendor", "target", "bin", "obj", "__pycache__",
-    "venv", "env", "site-packages", "bower_components", "tmp", "temp", "logs",
-}
+# Folders that are not entered; nor is any whose name begins with a dot.
+IGNORED_DIRS = {"node_modules", "dist", "build", "coverage", "out", "__pycache__", "venv", "env", "vendor", "target"}
 
 
 @dataclass

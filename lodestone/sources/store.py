@@ -1,7 +1,8 @@
 """A versioned Parquet store of index tables.
 
-Every write makes a new version directory; a small pointer file then names it.
-Readers never see half a version, and a failed write leaves the old one. Plain
+Every write makes a new version directory of the tables that changed; a small numbered pointer
+file then names where each table is. Readers never see half a version, and a failed write
+leaves the old one. The last ``KEEP`` versions stay for readers that still use them. Plain
 Parquet has no MERGE: an upsert is an anti-join and a union, a cascading delete
 an anti-join in every table.
 """
@@ -9,8 +10,10 @@ an anti-join in every table.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 
 from lodestone.schema import DDL, SCHEMA_VERSION, Index, schema
 
+#: Versions and pointers before the newest that are kept.
+KEEP = 3
+
 PER_FILE = ("files", "symbols", "imports", "exports", "calls", "refs", "tfidf", "contents")
 
 
@@ -56,50 +62,79 @@ class Store:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointer files, in order."""
+        fs = self._fs()
+        if not fs.exists(self._path("")):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(self._path(""))]
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"CURRENT-(\d+)\.json", n)))
+
     def meta(self) -> dict:
-        """The pointer file's content; empty if there is none."""
-        fs, at = self._fs(), self._path("CURRENT.json")
-        if not fs.exists(at):
+        """The newest pointer file's content; empty if there is none."""
+        found = self._pointers()
+        if not found:
             return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT-{found[-1]}.json").collect()))
 
     def set_meta(self, **values) -> None:
-        """Merge values into the pointer file: write beside it, then rename."""
-        fs, text = self._fs(), json.dumps({**self.meta(), **values})
+        """Merge values into a new pointer file, written beside and then renamed.
+
+        It has the next number, and the highest number counts, so there is a whole
+        pointer at any time. Raises if another writer took the number.
+        """
+        fs, text, found = self._fs(), json.dumps({**self.meta(), **values}), self._pointers()
         fs.mkdirs(self._path(""))
-        beside, at = self._path(f".next-{uuid.uuid4().hex}"), self._path("CURRENT.json")
+        beside = self._path(f".next-{uuid.uuid4().hex}")
         out = fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(beside, at)
+        if not fs.rename(beside, self._path(f"CURRENT-{(found or [0])[-1] + 1}.json")):
+            raise RuntimeError("another writer changed the store")
+        for n in found[:-KEEP]:
+            fs.delete(self._path(f"CURRENT-{n}.json"), False)
+
+    def _tables(self) -> dict[str, str]:
+        """The folder of each table."""
+        meta = self.meta()
+        return meta.get("tables", {}) if meta.get("schema_version") == SCHEMA_VERSION else {}
 
     def read(self) -> Index:
         """The current version; an empty index if there is none or its schema differs."""
-        meta = self.meta()
-        if meta.get("schema_version") != SCHEMA_VERSION or not meta.get("version"):
+        at = self._tables()
+        if not at:
             return Index.empty(self.spark)
-        at = f"{self.root}/{meta['version']}"
-        return Index(**{t: self.spark.read.schema(schema(t)).parquet(f"{at}/{t}") for t in DDL})
+        return Index(**{t: self.spark.read.schema(schema(t)).parquet(f"{self.root}/{at[t]}/{t}") for t in DDL})
 
-    def write(self, index: Index) -> str:
-        """Write all tables as a new version and point to it."""
-        version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    def write(self, index: Index, tables: Iterable[str] = tuple(DDL)) -> str:
+        """Write the named tables as a new version and point to it; the others stay where they are."""
+        version, at = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}", dict(self._tables())
         sort = {"files": "path", "symbols": "name", "calls": "callee_name", "tfidf": "term", "refs": "name"}
-        for table in DDL:
+        for table in {t: None for t in (*tables, *(t for t in DDL if t not in at))}:
             df = getattr(index, table).select(*schema(table).fieldNames())
             # Sorted files let readers skip row groups by min and max.
             (df.sortWithinPartitions(sort[table]) if table in sort else df).write.parquet(f"{self.root}/{version}/{table}")
-        self.set_meta(schema_version=SCHEMA_VERSION, version=version)
+            at[table] = version
+        older = self.meta().get("older", [])
+        self.set_meta(schema_version=SCHEMA_VERSION, version=version, tables=at, older=[*older, version])
+        self._clean()
         return version
 
+    def _clean(self) -> None:
+        """Delete versions that neither the current pointer nor the ``KEEP`` newest versions use."""
+        meta = self.meta()
+        used = {*meta["tables"].values(), *meta["older"][-KEEP:]}
+        for version in meta["older"]:
+            if version not in used:
+                self._fs().delete(self._path(version), True)
+
     def start_session(self, now_ms: int) -> int:
         """Open a session and return its id."""
         index = self.read()
         last = index.sessions.agg(F.max("session_id")).first()[0] or 0
         row = self.spark.createDataFrame([(last + 1, now_ms, None, None)], schema("sessions"))
         index.sessions = index.sessions.unionByName(row)
-        self.write(index)
+        self.write(index, ["sessions"])
         return last + 1
 
     def end_session(self, session_id: int, now_ms: int) -> None:
@@ -110,4 +145,4 @@ class Store:
         text = snapshot_json(current_state(index.files, index.symbols)).first()[0] or "{}"
         mine = F.col("session_id") == session_id
         index.sessions = index.sessions.withColumn("ended_at", F.when(mine, F.lit(now_ms)).otherwise(F.col("ended_at"))).withColumn("file_snapshot", F.when(mine, F.lit(text)).otherwise(F.col("file_snapshot")))
-        self.write(index)
+        self.write(index, ["sessions"])

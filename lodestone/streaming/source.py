@@ -1,0 +1,100 @@
+"""A streaming source of file events: listings of a tree, compared.
+
+``spark.readStream.format("tree").option("root", ...).option("state", ...)`` gives
+``(path, event, ts, seq)``. A listing counts only once the tree has been quiet for
+``gap_ms`` (a trailing debounce), and is then kept under ``state``, so a restarted query
+replays the same events from its checkpoint. The first batch adds every file.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+from collections.abc import Iterator
+from datetime import datetime
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+from lodestone.sources.config import IGNORED_DIRS
+
+KEPT = 16
+
+
+def walked(root: str) -> dict[str, int]:
+    """``{path: mtime in ms}``; dot entries and ignored folders are not entered."""
+    out = {}
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in IGNORED_DIRS)
+        for name in names:
+            if not name.startswith("."):
+                try:
+                    at = os.path.join(folder, name)
+                    out[os.path.relpath(at, root).replace(os.sep, "/")] = os.stat(at).st_mtime_ns // 1_000_000
+                except OSError:
+                    continue
+    return out
+
+
+class TreeReader(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.root, self.state, self.gap = options["root"], options["state"], int(options.get("gap_ms", "300")) / 1000
+        os.makedirs(self.state, exist_ok=True)
+        self.seen: tuple[float, dict[str, int]] | None = None
+
+    def _listing(self, n: int) -> dict[str, int]:
+        if n == 0:
+            return {}
+        with open(os.path.join(self.state, f"listing-{n}.json")) as file:
+            return json.load(file)
+
+    def _events(self, a: int, b: int) -> list[tuple]:
+        old, new = self._listing(a), self._listing(b)
+        at = datetime.fromtimestamp(os.stat(os.path.join(self.state, f"listing-{b}.json")).st_mtime)
+        changed = [(p, "add" if p not in old else "unlink" if p not in new else "change") for p in sorted({*old, *new}) if old.get(p) != new.get(p)]
+        return [(p, e, at, b * 2**32 + i) for i, (p, e) in enumerate(changed)]
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        n, now = start["listing"], walked(self.root)
+        if now == self._listing(n):
+            self.seen = None
+            return iter([]), start
+        if self.seen is None or self.seen[1] != now:
+            self.seen = (time.monotonic(), now)  # not quiet yet
+        if time.monotonic() - self.seen[0] < self.gap:
+            return iter([]), start
+        self.seen, beside = None, os.path.join(self.state, ".next")
+        with open(beside, "w") as file:
+            json.dump(now, file)
+        os.replace(beside, os.path.join(self.state, f"listing-{n + 1}.json"))
+        return iter(self._events(n, n + 1)), {"listing": n + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([e for n in range(start["listing"], end["listing"]) for e in self._events(n, n + 1)])
+
+    def commit(self, end: dict) -> None:
+        old = os.path.join(self.state, f"listing-{end['listing'] - KEPT}.json")
+        if os.path.exists(old):
+            os.remove(old)
+
+
+class TreeSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tree"
+
+    def schema(self) -> str:
+        return "path string, event string, ts timestamp, seq long"
+
+    def simpleStreamReader(self, schema) -> TreeReader:
+        return TreeReader(self.options)
+
+
+def tree_events(spark: SparkSession, root: str, state: str, gap_ms: int = 300):
+    """The stream of events of the tree at ``root``."""
+    spark.dataSource.register(TreeSource)
+    return spark.readStream.format("tree").option("root", root).option("state", state).option("gap_ms", str(gap_ms)).load()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import changes as C
@@ -10,6 +12,8 @@ from lodestone.operators import context as X
 from lodestone.operators import graph as G
 from lodestone.operators import lookup as L
 from lodestone.operators import search as S
+from lodestone.plans.index import reindex as index_again
+from lodestone.project import Project, switched
 from lodestone.schema import Index
 
 SHOWN_EXPORTS = 5
@@ -26,6 +30,26 @@ def get_status(index: Index) -> str:
     return "\n".join(f"{k}: {r[k]}" for k in r.__fields__)
 
 
+def set_project(current: Project | None, spark: SparkSession, path: str, now_ms: int, storage: str | None = None) -> tuple[Project | None, str]:
+    """The project around ``path``, indexed, in place of the current one, which is closed; and what happened, as text."""
+    try:
+        project = switched(current, spark, os.path.abspath(path), now_ms, storage)
+    except ValueError as error:
+        return current, str(error)
+    if project is current:
+        return current, f"Project is {project.root} already"
+    return project, f"Project: {project.root} ({project.counts['indexed']} indexed, {project.counts['skipped']} unchanged, {project.counts['removed']} removed, {project.counts['errors']} failed)"
+
+
+def reindex(project: Project, path: str | None = None, now_ms: int = 0) -> str:
+    """Read one file, or all, again whatever its time."""
+    at = None if path is None else project.relative(path)
+    r = index_again(project.spark, project.root, project.store, at, now_ms, project.config)
+    if at is not None:
+        return f"Re-indexed: {at}" if r["indexed"] else f"Failed: {at}" if r["errors"] else f"No changes: {at}"
+    return f"Full re-index: {r['indexed']} indexed, {r['skipped']} unchanged, {r['removed']} removed, {r['errors']} failed ({r['time_ms']} ms)"
+
+
 def find_symbol(index: Index, query: str, kind: str | None = None, scope: str | None = None) -> str:
     rows = L.find_symbol(index.symbols, index.files, query, kind, scope)
     return _lines("{n} symbol(s)", rows, lambda r: f"  {r['kind']} {r['name']}{r['signature'] or ''}  {r['path']}:{r['start_line']}-{r['end_line']}{' (exported)' if r['is_exported'] else ''}", f"No symbol matches {query!r}")
@@ -63,7 +87,10 @@ def get_call_graph(index: Index, function: str, file: str | None = None, depth:
 
 def get_symbol_source(index: Index, symbol: str, file: str | None = None) -> str:
     r = X.symbol_source(index, symbol, file).first()
-    return f"// {r['path']}:{r['from_line']}-{r['to_line']}\n{r['source']}" if r else f"No symbol matches {symbol!r}"
+    if r is None:
+        return f"No symbol matches {symbol!r}"
+    head = f"{'export ' if r['is_exported'] else ''}{r['kind']} {r['name']}{' ' + r['signature'] if r['signature'] else ''}"
+    return f"{head}\n{r['path']}:{r['start_line']}-{r['to_line']}\n\n{r['source']}"
 
 
 def get_project_map(index: Index, depth: int = 3) -> str:
@@ -97,7 +124,8 @@ def get_changes_since_last_session(index: Index) -> str:
         rows = C.changes_since_last_session(index)
         if rows is None:
             return "No previous session: this is the first run"
-        return _lines("{n} file(s) changed", rows, lambda r: f"  {r['change']} {r['path']}" + "".join(f" +{x}" for x in r["added"]) + "".join(f" -{x}" for x in r["removed"]), "No changes since the last session")
+        ended = C.last_snapshot(index.sessions).select(C.iso_time(F.col("ended_at"))).first()[0]
+        return _lines(f"{{n}} file(s) changed since the last session ({ended})", rows, lambda r: f"  {r['change']} {r['path']}" + "".join(f" +{x}" for x in r["added"]) + "".join(f" -{x}" for x in r["removed"]), f"No changes since the last session ({ended})")
     except Exception as error:
         if "corrupted snapshot" not in str(error):
             raise

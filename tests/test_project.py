@@ -55,12 +55,16 @@ def index(project):
     return project[1].read()
 
 
+def counts(told):
+    return {k: v for k, v in told.items() if k != "time_ms"}
+
+
 def rows(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
 def test_files_and_symbols(index, project):
-    assert project[2] == {"indexed": 9, "skipped": 0, "removed": 0}
+    assert counts(project[2]) == {"indexed": 9, "skipped": 0, "removed": 0, "errors": 0} and project[2]["time_ms"] > 0
     names = dict(rows(index.files, "path", "lines"))
     assert set(names) == {k for k in FILES if k.endswith((".ts", ".py", ".go")) and ".test." not in k and ".d." not in k}
     assert names["src/lib/text.ts"] == 10
@@ -185,11 +189,11 @@ def test_sessions_and_increments(spark, project):
     first = store.start_session(1)
     store.end_session(first, 2)
     assert C.changes_since_last_session(store.read()).count() == 0
-    assert index_project(spark, root, store, 3, config) == {"indexed": 0, "skipped": 9, "removed": 0}
+    assert counts(index_project(spark, root, store, 3, config)) == {"indexed": 0, "skipped": 9, "removed": 0, "errors": 0}
     store.start_session(4)  # an open session doesn't hide the closed one
     write(root, {"src/lib/text.ts": "export function digest() {}\nexport function added() {}\n", "src/new.ts": "export const N = 1\n"})
     os.remove(os.path.join(root, "lib/util.py"))
-    assert index_project(spark, root, store, 5, config) == {"indexed": 2, "skipped": 7, "removed": 1}
+    assert counts(index_project(spark, root, store, 5, config)) == {"indexed": 2, "skipped": 7, "removed": 1, "errors": 0}
     index = store.read()
     told = {r["path"]: (r["change"], r["added"], r["removed"]) for r in C.changes_since_last_session(index).collect()}
     assert told == {"src/lib/text.ts": ("modified", ["added"], ["helper", "lonely"]), "src/new.ts": ("added", [], []), "lib/util.py": ("deleted", [], [])}
