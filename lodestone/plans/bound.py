@@ -95,9 +95,9 @@ def find_symbol(spark, d):
 
 
 @bound("""WITH i AS (SELECT p_brand AS path, o_orderpriority AS symbol, c_mktsegment AS from_path FROM lineitem
- JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R')
+ JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
 SELECT DISTINCT 'import' AS kind, path, 0 AS line, symbol AS context FROM i WHERE symbol = '2-HIGH' AND from_path IN ('BUILDING', 'MACHINERY')
-UNION ALL SELECT DISTINCT 'call', p_brand, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' AND l_returnflag = 'A'""")
+UNION ALL SELECT DISTINCT 'call', p_brand, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def find_references(spark, d):
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     order, customer = table(spark, d, "orders"), table(spark, d, "customer")
@@ -106,8 +106,8 @@ def find_references(spark, d):
     files = brands.unionByName(segments)
     home = segments.where("path in ('BUILDING', 'MACHINERY')").select(F.lit(-1).cast("long").alias("symbol_id"), "file_id", F.lit("2-HIGH").alias("name"))
     names = part.select(F.col("p_partkey").alias("symbol_id"), F.xxhash64("p_brand").alias("file_id"), F.col("p_name").alias("name"))
-    imports = line.where("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey")).join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.xxhash64("p_brand").alias("file_id"), F.col("o_orderpriority").alias("symbol"), F.col("c_mktsegment").alias("from_path"), F.lit(False).alias("is_type_only"), F.lit(False).alias("is_external"), F.col("l_linenumber").alias("seq"))
-    calls = line.where("l_linestatus = 'O' and l_returnflag = 'A'").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("caller_symbol_id"), F.lit("this.2-HIGH").alias("callee_name"), F.xxhash64("p_brand").alias("file_id"), F.col("l_linenumber").alias("line"))
+    imports = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.xxhash64("p_brand").alias("file_id"), F.col("o_orderpriority").alias("symbol"), F.col("c_mktsegment").alias("from_path"), F.lit(False).alias("is_type_only"), F.lit(False).alias("is_external"), F.col("l_linenumber").alias("seq"))
+    calls = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("caller_symbol_id"), F.lit("this.2-HIGH").alias("callee_name"), F.xxhash64("p_brand").alias("file_id"), F.col("l_linenumber").alias("line"))
     found = L.find_references(home.unionByName(names), files, imports, calls, "2-HIGH", limit=None)
     return found.withColumn("line", F.coalesce("line", F.lit(0)))
 
@@ -228,7 +228,7 @@ def calls_like(spark, d):
     return L.calls_like(calls, symbols, files, ("err%", "SIGN%"))
 
 
-@bound("""WITH s AS (SELECT user_id, ts < TIMESTAMP '2024-01-03' AS old, sum(event_id) AS h, list_sort(list(DISTINCT event_type)) AS s FROM events WHERE ts < TIMESTAMP '2024-01-03' OR ts >= TIMESTAMP '2024-01-28' GROUP BY ALL),
+@bound("""WITH s AS (SELECT user_id, ts < TIMESTAMP '2024-01-15' AS old, sum(event_id) AS h, list_sort(list(DISTINCT event_type)) AS s FROM events GROUP BY ALL),
 a AS (SELECT * FROM s WHERE NOT old), b AS (SELECT * FROM s WHERE old),
 f AS (SELECT coalesce(a.user_id, b.user_id)::VARCHAR AS path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' END AS change, a.s AS n, b.s AS o FROM a FULL JOIN b ON a.user_id = b.user_id)
 SELECT path, change, CASE WHEN change = 'modified' THEN list_filter(n, lambda x: NOT list_contains(o, x)) ELSE [] END AS added,
@@ -236,7 +236,7 @@ CASE WHEN change = 'modified' THEN list_filter(o, lambda x: NOT list_contains(n,
 def snapshot_changes(spark, d):
     e = table(spark, d, "events")
     state = lambda df: df.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.sum("event_id").cast("string").alias("hash"), F.array_sort(F.collect_set("event_type")).alias("symbols"))
-    return C.changes(state(e.where("ts >= timestamp'2024-01-28'")), state(e.where("ts < timestamp'2024-01-03'")))
+    return C.changes(state(e.where("ts >= timestamp'2024-01-15'")), state(e.where("ts < timestamp'2024-01-15'")))
 
 
 @bound("""SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN n_chars > 5000 THEN 'too_large' WHEN doc_id % 3 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 'read' ELSE 'unchanged' END AS status FROM documents
@@ -285,14 +285,15 @@ def globs_and_extensions(spark, d):
     return table(spark, d, "pages").select("page_id", T.extension(F.regexp_replace("url", r"[?#].*$", "")).alias("ext"), T.matches_any_glob(bare, ["blog.**/*/9?"]).alias("hit"))
 
 
-@bound("""SELECT o_orderkey AS seq, c_name AS symbol, n_name AS kind, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS from_path FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'""")
+@bound("""SELECT o_orderkey AS seq, o_orderpriority AS symbol, c_name AS from_path, l.kind, l.start_line FROM orders JOIN customer ON o_custkey = c_custkey
+LEFT JOIN (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p, o_orderstatus AS kind, year(o_orderdate)::INTEGER AS start_line FROM orders WHERE o_orderstatus <> 'O') l ON l.k = o_custkey AND l.p = o_orderpriority""")
 def imports_with_targets(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    c = table(spark, d, "customer").where("c_acctbal > 0")
-    n = table(spark, d, "nation").where("n_regionkey < 3")
-    both = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # one row a nation
-    return both.select(F.col("o_orderkey").alias("seq"), F.col("c_name").alias("symbol"), F.col("n_name").alias("kind"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("from_path"))
+    """Orders as imports of a name from a customer, whose other orders are its symbols."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    files = c.select(F.col("c_custkey").alias("file_id"), F.col("c_name").alias("path"))
+    imports = o.join(files, F.col("o_custkey") == F.col("file_id")).select(F.lit(0).cast("long").alias("file_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("symbol"), F.col("path").alias("from_path"), F.lit(False).alias("is_type_only"), F.lit(False).alias("is_external"))
+    symbols = o.where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("file_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("kind"), F.lit("").alias("signature"), F.year("o_orderdate").alias("start_line")).distinct()
+    return X.with_targets(imports, files, symbols).select("seq", "symbol", "from_path", "kind", "start_line")
 
 
 @bound("SELECT o_custkey AS file, o_orderpriority AS symbol, min(o_orderkey) AS seq FROM orders GROUP BY ALL")

@@ -3,9 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
-from lodestone.plans import bound
+from lodestone.plans import bound, bound_code  # noqa: F401  registers
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -22,7 +23,9 @@ def con():
 def plain(x):
     if hasattr(x, "tolist"):
         x = x.tolist()
-    return None if x is None or x != x else x
+    if x is None or x is pd.NA or x != x:
+        return None
+    return int(x) if isinstance(x, float) and x.is_integer() else x
 
 
 def norm(frame):
