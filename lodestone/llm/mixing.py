@@ -3,10 +3,9 @@
 The words of each source are packed, in a fixed order of its documents, into
 blocks of ``block_words``. Every source has a number of words to give; its
 output slots are whole passes over its blocks and then a part of one more pass,
-in the order of a pseudorandom permutation of the block indexes. Each slot is
-thrown into an output shard by a seeded hash, so the counts of sources in a
-shard are a multinomial draw, given totals that meet the targets; slots and
-packed blocks are then joined by index.
+in the order of a pseudorandom permutation of the block indexes. How many slots each output
+shard gets of each source is a multinomial draw, given totals that meet the targets; the
+shards' counts then deal out the slots, and slots and packed blocks are joined by index.
 
 Targets: sources in code-point order, null last, weigh ``weights`` in turn and
 share ``share`` of all words; none gives more than ``most`` times what it has,
@@ -15,8 +14,8 @@ and what it cannot give is shared again among the others by weight.
 At scale: the order inside a source is (hash bucket, id, hash of the text), so
 that running totals need one window per bucket and one over the bucket sums; a
 source with a third of all rows is spread over ``ORDER_BUCKETS`` tasks. Slots
-are made in chunks, so no task makes a whole source's slots, and they are never
-broadcast: the plan's size estimate is that of the few source rows. The permutation is
+are thrown in chunks and counted in part before they are dealt, so no task makes a whole source's
+slots, and they are never broadcast. The permutation is
 a swap-or-not network: a bijection on any number of indexes, computed from the
 index alone. Only one row per source passes through a single task.
 
@@ -67,29 +66,57 @@ def _swap_or_not(index: Column, n: Column, rank: Column, seed: int, back: bool =
     return F.aggregate(rounds, index.cast("long"), step)
 
 
-def slots(sources: DataFrame, block_words: int = 512, seed: int = 7) -> DataFrame:
-    """Output slots ``(rank, block, pass, place, take, draw)``; ``take`` words from the block's start, ``draw`` modulo the number of shards is the shard."""
-    n, size, b = F.col("n_blocks"), F.col("source_size"), F.lit(block_words)
+def shard_counts(sources: DataFrame, block_words: int = 512, shard_blocks: int = 256, seed: int = 7) -> DataFrame:
+    """Slots of every source in every output shard: ``(rank, shard, n, ahead, ...)``, with those of earlier shards in ``ahead``.
+
+    A source's slots are thrown into the shards one by one, each shard alike, so the
+    counts are a multinomial draw whose sum is fixed by the target. Only shards with a slot of
+    the source have a row.
+    """
+    b, n, size = block_words, F.col("n_blocks"), F.col("source_size")
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("target").over(W.partitionBy()) / (b * shard_blocks)))  # one row a source
+    rest = F.col("give") - F.col("passes") * size
+    places = F.ceil(rest / b).cast("long")
+    # The short block is one of these places and leaves some words for one more.
+    more = ((F.col("short_at") < places) & (places * b - (b - F.col("short")) < rest)).cast("long")
     plan = (
-        sources.where("source_size > 0")
-        .select("rank", "source_size", F.round("target").cast("long").alias("give"))
-        .withColumn("n_blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
+        sources.withColumn("n_shards", shards)
+        .where("source_size > 0")
+        .select("rank", "source_size", "n_shards", F.round("target").cast("long").alias("give"))
+        .withColumn("n_blocks", F.expr(f"(source_size + {b - 1}) div {b}"))
         .withColumn("short_at", _swap_or_not(n - 1, n, F.col("rank"), seed, back=True))
         .withColumn("short", size - (n - 1) * b)
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_blocks - 1) div {CHUNK}"))).alias("chunk"))
+        .withColumn("passes", F.expr("give div nullif(source_size, 0)"))
+        .withColumn("slots", F.col("passes") * n + places + more)
+        .where("slots > 0")
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("chunk"))
     )
+    own = ["rank", "source_size", "n_shards", "give", "n_blocks", "short_at", "short"]
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = plan.repartition(parts, "rank", "chunk").select("*", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, n) - 1)).alias("place"))
-    passes = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("give div source_size"))).alias("pass"))
+    thrown = plan.repartition(parts, "rank", "chunk").select(*own, F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"))
+    drawn = thrown.groupBy(*own, F.pmod(F.xxhash64(F.lit(seed + 2), "rank", "slot"), F.col("n_shards")).alias("shard")).agg(F.count("*").alias("n"))
+    # Running totals by runs of shards, so that no task reads all shards of a source but for one sum a run.
+    run = drawn.withColumn("run", F.expr(f"shard div {CHUNK}"))
+    sums = run.groupBy("rank", "run").agg(F.sum("n").alias("all"))
+    base = sums.withColumn("base", F.sum("all").over(W.partitionBy("rank").orderBy("run")) - F.col("all")).drop("all")
+    inside = F.sum("n").over(W.partitionBy("rank", "run").orderBy("shard")) - F.col("n")
+    return run.withColumn("inside", inside).join(base, ["rank", "run"]).withColumn("ahead", F.col("base") + F.col("inside")).drop("run", "inside", "base")
+
+
+def slots(counts: DataFrame, block_words: int = 512, seed: int = 7) -> DataFrame:
+    """Output slots ``(rank, block, pass, place, take, shard)`` of ``shard_counts``; ``take`` words from the block's start.
+
+    A shard's slots of a source continue those of the shards before; each is a place in
+    a pass over the source, and the permutation says which block stands there.
+    """
+    n, size, b = F.col("n_blocks"), F.col("source_size"), F.lit(block_words)
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = counts.repartition(parts, "rank", "shard").select("*", F.explode(F.sequence(F.col("ahead"), F.col("ahead") + F.col("n") - 1)).alias("slot"))
+    placed = each.withColumn("pass", F.expr("slot div n_blocks")).withColumn("place", F.col("slot") % n)
     length = F.when(F.col("place") == F.col("short_at"), F.col("short")).otherwise(b)
     before = F.col("place") * b - F.when(F.col("short_at") < F.col("place"), b - F.col("short")).otherwise(F.lit(0))
     take = F.greatest(F.lit(0), F.least(length, F.col("give") - F.col("pass") * size - before))
-    return (
-        passes.withColumn("take", take)
-        .where("take > 0")
-        .withColumn("block", _swap_or_not(F.col("place"), n, F.col("rank"), seed))
-        .select("rank", "block", "pass", "place", "take", F.xxhash64(F.lit(seed + 2), "rank", "pass", "place").alias("draw"))
-    )
+    return placed.withColumn("take", take).withColumn("block", _swap_or_not(F.col("place"), n, F.col("rank"), seed)).select("rank", "block", "pass", "place", "take", "shard")
 
 
 def packed(docs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -122,14 +149,15 @@ def _used() -> Column:
     return F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("take", F.lit(0)) - F.col("in_block")))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block_words: int = 512, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, block_words: int = 512, shard_blocks: int = 256, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
     """Per document: id, size, source_size, target of its source, and the words the mix takes."""
     text = F.col(text_col).cast("string")
     read = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(text).alias("h"))
     read, _ = keep(read, "sizes")
     sources, _ = keep(source_targets(read, weights, share, most), "targets")
     placed, _ = keep(packed(read, sources), "placed")
-    joined = pieces(placed, block_words).join(slots(sources, block_words, seed=seed).hint("merge"), ["rank", "block"], "left")
+    counts, _ = keep(shard_counts(sources, block_words, shard_blocks, seed), "shards")
+    joined = pieces(placed, block_words).join(slots(counts, block_words, seed).hint("merge"), ["rank", "block"], "left")
     key = ["id", "h", "rank", "start", "size", "source_size", "target"]
     given = joined.groupBy(*key).agg(F.sum(_used()).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken"))
@@ -147,11 +175,10 @@ def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(text).alias("h"))
     read, _ = keep(read, "sizes")
     sources, _ = keep(source_targets(read, weights, share, most), "targets")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    n_shards = max(1, -(-int(total) // (block_words * shard_blocks)))
+    counts, _ = keep(shard_counts(sources, block_words, shard_blocks, seed), "shards")
     whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), F.xxhash64(text).alias("h"), text.alias("text"))
     placed = packed(whole, sources).where("size > 0").withColumn("w", words_of(F.col("text"))).drop("text")
     parts = pieces(placed, block_words).select("id", "source", "rank", "block", "start", "first_word", "in_block", F.slice("w", F.col("first_word").cast("int") + 1, F.col("n").cast("int")).alias("part")).select("id", "source", "rank", "block", "first_word", "in_block", F.size("part").cast("long").alias("n"), F.array_join("part", " ").alias("text"))
-    joined = parts.join(slots(sources, block_words, seed=seed).hint("merge"), ["rank", "block"]).withColumn("used", _used()).where("used > 0")
+    joined = parts.join(slots(counts, block_words, seed).hint("merge"), ["rank", "block"]).withColumn("used", _used()).where("used > 0")
     cut = F.when(F.col("used") == F.col("n"), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, F.col("used").cast("int")), " "))
-    return joined.select(F.pmod("draw", F.lit(n_shards)).alias("shard"), "source", "pass", "place", "in_block", F.col("id").alias(id_col), "first_word", F.col("used").alias("n_words"), cut.alias(text_col))
+    return joined.select("shard", "source", "pass", "place", "in_block", F.col("id").alias(id_col), "first_word", F.col("used").alias("n_words"), cut.alias(text_col))

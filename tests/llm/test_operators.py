@@ -118,6 +118,24 @@ def test_mix_blocks_hold_what_is_counted(docs, texts):
     assert len({r["shard"] for r in parts}) > 3
 
 
+def test_shard_counts_decide_the_mix(spark):
+    rows = [("a", 5000), ("b", 333), (None, 16), ("c", 0), ("d", 1)]
+    sources = mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).cache()
+    counts = mixing.shard_counts(sources, 16, 8).cache()
+    drawn, given = counts.collect(), {r["rank"]: r for r in sources.collect()}
+    found = mixing.slots(counts, 16).collect()
+    per = {}
+    for r in found:
+        per[r["rank"], r["shard"]] = per.get((r["rank"], r["shard"]), 0) + 1
+        assert 0 < r["take"] <= 16 and 0 <= r["block"] < -(-given[r["rank"]]["source_size"] // 16)
+    assert per == {(r["rank"], r["shard"]): r["n"] for r in drawn}
+    for rank, s in given.items():
+        assert sum(r["take"] for r in found if r["rank"] == rank) == round(s["target"])
+    whole = [r for r in found if r["pass"] == 0 and r["rank"] == 1]
+    assert len({r["block"] for r in whole}) == len(whole) and len({r["shard"] for r in drawn}) > 20
+    assert sorted(map(tuple, drawn)) == sorted(map(tuple, mixing.shard_counts(sources.repartition(3), 16, 8).collect()))
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         df = spark.range(n).select("id", mixing._swap_or_not(F.col("id"), F.lit(n).cast("long"), F.lit(3), 7).alias("to"))
