@@ -172,8 +172,12 @@ def score(model: Model, texts: list[bytes | None]) -> np.ndarray:
     return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500) -> Model:
-    """A model from the labels where ``learn`` (over the columns of ``labels``) holds."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, per_doc: int = 64) -> Model:
+    """A model from the labels where ``learn`` (over the columns of ``labels``) holds.
+
+    It is fitted on up to ``per_class`` labelled documents of each class and up to ``per_doc``
+    passages of each, evenly spread over its text; of rows with one id on one text, the least.
+    """
     known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:
@@ -184,11 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [encode([t])[0].astype(np.float32).tobytes() for t in batch.column(2).to_pylist()]
+            coded = []
+            for t in batch.column(2).to_pylist():
+                x = encode([t])[0].astype(np.float32)
+                coded.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), per_doc)).astype(int))].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary())], ["id", "y", "x"])
 
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    joined = text.join(F.broadcast(sample), "id").select("id", "y", "text")  # 2 * per_class ids at most
+    joined = text.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # 2 * per_class ids at most
     rows = joined.mapInArrow(run, f"id {text.schema['id'].dataType.simpleString()}, y int, x binary").collect()
     rows.sort(key=lambda r: (r["id"], r["y"], bytes(r["x"])))
     y = np.array([r["y"] for r in rows], np.int64)
