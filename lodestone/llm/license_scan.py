@@ -7,7 +7,8 @@ window; the template side keeps the signatures of all its windows, so a copy
 meets its template at the same offset. A signature is the least values of
 ``BANDS * ROWS`` hash functions over the window's shingles. Windows that agree
 in a whole band retrieve the template: with 12 bands of 2 rows two windows of
-similarity 0.8 meet with probability 1 - (1 - 0.64)^12 > 0.99999.
+similarity 0.8 meet with probability 1 - (1 - 0.64)^12 > 0.99999. Signatures are made
+only of windows that hold a shingle of some template: others can agree in no band.
 
 Retrieved templates are verified on the words themselves: the share of the
 template's distinct shingles (five words) found in the stretch has to reach
@@ -42,6 +43,9 @@ BANDS, ROWS = 12, 2
 SEGMENT = 40_000
 MOST_WORDS = 2_000_000
 
+#: Bits of the hash under which the templates' shingles are noted.
+KNOWN = 20
+
 # Public license notices, as projects state them.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
@@ -73,22 +77,14 @@ def window_size(n: int) -> int:
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 
 
-def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Least of every run of ``width`` values, by doubling."""
-    done, out = 1, values
-    while done * 2 <= width:
-        out = np.minimum(out[:-done], out[done:])
-        done *= 2
-    return out if done == width else np.minimum(out[: len(values) - width + 1], out[width - done :])
-
-
 def band_keys(shingles: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """Keys of all bands (rows) of the windows of ``width`` shingles that start at ``at``."""
+    windows = np.lib.stride_tricks.sliding_window_view(shingles, width)[at]
     keys = np.empty((BANDS, len(at)), np.uint64)
     for b in range(BANDS):
         key = np.full(len(at), b, np.uint64)
         for r in range(ROWS):
-            least = _least(mix(shingles ^ _SEEDS[b * ROWS + r]), width)[at]
+            least = mix(windows ^ _SEEDS[b * ROWS + r]).min(axis=1)
             key = mix(key ^ least) if r else key ^ least
         keys[b] = key
     return keys
@@ -112,6 +108,7 @@ class Index:
     shingles: list[set]
     sizes: list[Size]
     reach: int
+    known: dict[int, tuple[np.ndarray, np.ndarray]]  # by shingle length, the templates' shingles, and a table of their top bits
 
 
 def _word_shingles(words: list[bytes], k: int) -> set:
@@ -142,7 +139,23 @@ def build_index(templates: dict[str, str]) -> Index:
             quick.append(seen)
         stride = min(len(made[k][1]) for k in members) - m + 1
         sizes.append(Size(m, s, stride, [x[o] for x, o in zip(every, orders)], [own[o] for o in orders], [at[o] for o in orders], quick))
-    return Index([n for n, _ in made], [len(w) for _, w in made], [_word_shingles(w, min(SHINGLE, len(w))) for _, w in made], sizes, 2 * max([len(w) for _, w in made], default=0) + SHINGLE)
+    known = {}
+    for s in {min(SHINGLE, len(w)) for _, w in made}:
+        held = np.unique(np.concatenate([gram_hashes(word_hashes(w), s) for _, w in made if min(SHINGLE, len(w)) == s]))
+        top = np.zeros(1 << KNOWN, bool)
+        top[held >> np.uint64(64 - KNOWN)] = True
+        known[s] = held, top
+    return Index([n for n, _ in made], [len(w) for _, w in made], [_word_shingles(w, min(SHINGLE, len(w))) for _, w in made], sizes, 2 * max([len(w) for _, w in made], default=0) + SHINGLE, known)
+
+
+def _seen(index: Index, shingles: np.ndarray, s: int) -> np.ndarray:
+    """How many shingles before each place are of a template."""
+    held, top = index.known[s]
+    maybe = np.flatnonzero(top[shingles >> np.uint64(64 - KNOWN)])
+    at = np.searchsorted(held, shingles[maybe])
+    there = np.zeros(len(shingles) + 1, np.int64)
+    there[maybe[held[np.minimum(at, len(held) - 1)] == shingles[maybe]] + 1] = 1
+    return np.cumsum(there)
 
 
 def _retrieved(index: Index, hashes: np.ndarray, owner: np.ndarray, place: np.ndarray) -> set[tuple[int, int, int]]:
@@ -151,12 +164,16 @@ def _retrieved(index: Index, hashes: np.ndarray, owner: np.ndarray, place: np.nd
     for size in index.sizes:
         if len(hashes) < size.m:
             continue
-        at = np.flatnonzero(place[: len(hashes) - size.m + 1] % size.stride == 0)
-        at = at[owner[at] == owner[at + size.m - 1]]
+        if size.shingle not in grams:
+            shingles = gram_hashes(hashes, size.shingle)
+            grams[size.shingle] = shingles, _seen(index, shingles, size.shingle)
+        (shingles, seen), width = grams[size.shingle], size.m - size.shingle + 1
+        # Windows agree in a band only if they share the shingles of least value.
+        at = np.flatnonzero(seen[width:] > seen[:-width])
+        at = at[(place[at] % size.stride == 0) & (owner[at] == owner[at + size.m - 1])]
         if not len(at):
             continue
-        shingles = grams.setdefault(size.shingle, gram_hashes(hashes, size.shingle))
-        for b, keys in enumerate(band_keys(shingles, size.m - size.shingle + 1, at)):
+        for b, keys in enumerate(band_keys(shingles, width, at)):
             maybe = np.flatnonzero(size.quick[b][(keys >> np.uint64(48)).astype(np.int64)])
             low = np.searchsorted(size.keys[b], keys[maybe], side="left")
             high = np.searchsorted(size.keys[b], keys[maybe], side="right")
