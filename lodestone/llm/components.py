@@ -1,7 +1,8 @@
 """Connected components as alternating star contractions.
 
 Each round is two keyed aggregations and two joins over the edge table; no edge
-or label is ever gathered on the driver. After a round every component is
+or label is ever gathered on the driver. The least neighbours are written before they are
+joined, so the many edges of a star's centre are joined apart from their aggregation and can be split. After a round every component is
 closer to a star around its smallest node; the loop ends once all are stars. Edge tables are written to the shared scratch folder between rounds,
 so a lost executor costs one round at most.
 """
@@ -16,12 +17,12 @@ from lodestone.llm.common import drop, keep
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low, _ = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low, _ = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -50,7 +51,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         if done == max_rounds:
             break
-        after, new_path = keep(_small_star(_large_star(now)), "edges")
+        large, large_path = keep(_large_star(now), "edges")
+        after, new_path = keep(_small_star(large), "edges")
         drop(spark, path)
+        drop(spark, large_path)
         now, path = after, new_path
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
