@@ -42,6 +42,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: Settings while a scratch table is written: its shuffle files go with it, and small partitions
+#: are put together, so that a small table is few files.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+}
+
+
 def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
@@ -49,9 +58,9 @@ def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, s
     table by, so that later joins on it move only their other side.
     """
     spark = df.sparkSession
-    path, cleanup = scratch_path(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
+    path, before = scratch_path(spark, label), {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         write = df.write.option("compression", "zstd")
         if by is None:
@@ -61,7 +70,8 @@ def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, s
         write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
         return spark.table(name), path
     finally:
-        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def drop(spark: SparkSession, path: str) -> None:
