@@ -11,10 +11,10 @@ the order of a hash, ``piece`` characters from a hashed place of each, until
 The automata are the only thing sent to the executors, so their size has a
 bound that does not grow with the corpus. Every text is scored whole.
 
-Texts are lower-cased, every run of non-letters is one separator. They are cut
-into blocks of ``BLOCK`` characters, and all blocks of a batch step through the
-transition table together, one character at a time; phrase counts of a text's
-blocks add up.
+Texts are lower-cased, every run of non-letters is one separator. Blocks of
+``BLOCK`` characters step through the transition table together, one character
+at a time, and are then stitched so that phrases run on across them: counts
+are those of one parse of the whole text, whatever the block size.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; ties go to
 the first language in code-point order; rows without id or language teach
@@ -106,11 +106,21 @@ def build_model(labelled: dict[str, str]) -> Model:
     return Model(languages, codes, local, tables)
 
 
-def _phrases(table: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each block; ``symbols`` has a row per step, blocks in order of falling length."""
+def _step(table: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next state of each lane, and whether a phrase begins with its symbol ``c``."""
+    to = table[state, c]
+    miss = to < 0
+    return np.where(miss, np.maximum(table[0, c], 0), to), miss | (state == 0)
+
+
+def _phrases(table: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases begun in each block and its last state, from first states ``state``.
+
+    ``symbols`` has a row per step, blocks in order of falling length.
+    """
     width = table.shape[1]
     flat, start = table.ravel(), np.maximum(table[0], 0)
-    state = np.zeros(len(lengths), np.int64)
+    state = state.astype(np.int64)
     count = np.zeros(len(lengths), np.int64)
     active = np.searchsorted(-lengths, -np.arange(len(symbols)), side="left")
     for t, k in enumerate(active):
@@ -119,7 +129,60 @@ def _phrases(table: np.ndarray, symbols: np.ndarray, lengths: np.ndarray) -> np.
         miss = to < 0
         count[:k] += miss | (state[:k] == 0)  # here a phrase begins
         state[:k] = np.where(miss, start[c], to)
-    return count
+    return count, state
+
+
+def _walk(table: np.ndarray, symbols: np.ndarray, state: int) -> tuple[int, int]:
+    """Phrases begun in one block and its last state."""
+    count = 0
+    for c in symbols.tolist():
+        to = int(table[state, c])
+        count += to < 0 or state == 0
+        state = to if to >= 0 else max(int(table[0, c]), 0)
+    return count, state
+
+
+def _parse(table: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, place: np.ndarray, follows: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """Phrases of each block as parts of whole texts, and the last block's last state.
+
+    ``place`` is a block's lane in ``symbols``, ``follows`` marks those that go on
+    with the text of the block before, ``carried`` is the first block's first state.
+    All blocks are parsed from a phrase's start. Then those that follow are parsed
+    from the state really left to them too, until both parses are in one state:
+    from there on they agree. The few whose parses never meet leave another state
+    to the next block, which is walked again, and so on until the states agree.
+    """
+    first = np.zeros(len(place), np.int64)
+    first[place[0]] = carried
+    count, guess = (x[place] for x in _phrases(table, symbols, lengths, first))
+    size = lengths[place]
+    left = guess.copy()
+    live = 1 + np.flatnonzero(follows[1:] & (guess[:-1] != 0))
+    real, tried = guess[live - 1], np.zeros(len(live), np.int64)
+    apart: list[int] = []
+    for t in range(len(symbols) + 1):
+        over = size[live] <= t
+        if over.any():
+            left[live[over]] = real[over]
+            apart += live[over].tolist()
+            live, real, tried = live[~over], real[~over], tried[~over]
+        if not len(live):
+            break
+        c = symbols[t, place[live]]
+        real, begins = _step(table, real, c)
+        tried, began = _step(table, tried, c)
+        count[live] += begins.astype(np.int64) - began
+        on = real != tried
+        live, real, tried = live[on], real[on], tried[on]
+    settled = -1
+    for b in sorted(apart):
+        if b <= settled:
+            continue
+        settled = b
+        while settled + 1 < len(place) and follows[settled + 1] and left[settled] != guess[settled]:
+            settled += 1
+            count[settled], left[settled] = _walk(table, symbols[: size[settled], place[settled]], int(left[settled - 1]))
+    return count, int(left[-1])
 
 
 def phrase_counts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,20 +191,25 @@ def phrase_counts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
     sizes = np.zeros(len(texts), np.int64)
     blocks: list[np.ndarray] = []
     owners: list[int] = []
+    follows: list[bool] = []
+    carried = [0] * len(model.languages)
 
     def flush() -> None:
         if not blocks:
             return
         lengths = np.array([len(b) for b in blocks])
         order = np.argsort(-lengths, kind="stable")
+        place = np.argsort(order, kind="stable")
         grid = np.zeros((int(lengths.max()), len(blocks)), np.uint16)
         for lane, k in enumerate(order):
             grid[: lengths[k], lane] = blocks[k]
-        who = np.array(owners)[order]
         for lang, (local, table) in enumerate(zip(model.local, model.tables)):
-            np.add.at(counts[:, lang], who, _phrases(table, local[grid], lengths[order]))
+            state = carried[lang] if follows[0] else 0
+            found, carried[lang] = _parse(table, local[grid], lengths[order], place, np.array(follows), state)
+            np.add.at(counts[:, lang], np.array(owners), found)
         blocks.clear()
         owners.clear()
+        follows.clear()
 
     for t, text in enumerate(texts):
         code = model.codes[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -152,6 +220,7 @@ def phrase_counts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np
             for i in range(0, len(code), BLOCK):
                 blocks.append(code[i : i + BLOCK])
                 owners.append(t)
+                follows.append(i > 0)
                 if len(blocks) >= LANES:
                     flush()
     flush()

@@ -301,6 +301,28 @@ def test_phrases_are_longest_matches():
     assert counts[0].tolist() == [greedy("abracadabra", text), greedy("simsalabim", text)] and sizes.tolist() == [len(text), 0]
 
 
+def test_parse_runs_across_blocks(monkeypatch):
+    def greedy(source, t):
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t[i : i + k + 1] in source:
+                k += 1
+            i, n = i + k, n + 1
+        return n
+
+    rng = random.Random(4)
+    word = lambda s, n: "".join(rng.choices(s, k=n))
+    labelled = {"p": "a" * 7, "q": word("abc", 300), "r": word("abcd", 40)}
+    model = language_id.build_model(labelled)
+    texts = ["a" * 5000, "", "aab" * 700, *[word("abcdz", rng.randint(1, 3000)) for _ in range(20)], labelled["q"] * 9, None, "z", "a" * 700]
+    want = [[greedy(labelled[k], t or "") for k in "pqr"] for t in texts]
+    for block, lanes in ((512, 4096), (512, 3), (7, 5), (1, 2), (16, 1), (8192, 4)):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "LANES", lanes)
+        assert language_id.phrase_counts(model, texts)[0].tolist() == want
+
+
 def test_classifier(spark, empty):
     rng = random.Random(11)
     rows, labels = [], []
