@@ -69,7 +69,7 @@ def _cells(nodes: DataFrame, limit: int, overlap: int, sample: int) -> tuple[Dat
         if counts.isEmpty():
             return members, parts
         sized = members.join(counts, "cell", "left")
-        large = sized.where("n is not null").drop("home").withColumn("home", F.col("home"))
+        large = sized.where("n is not null")
 
         def fit(table: pa.Table) -> pa.Table:
             units, cell, n = unit(_matrix(table["vec"])), table["cell"][0].as_py(), table["n"][0].as_py()
@@ -108,7 +108,7 @@ def _cells(nodes: DataFrame, limit: int, overlap: int, sample: int) -> tuple[Dat
         out = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("vec", pa.list_(element)), ("home", pa.bool_())])
         chunks = F.ceil(F.col("n") / limit).cast("long")
         dealt = large.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(level)), chunks)).drop("n")
-        copies = fitted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).drop("n", "turn", "cell").withColumn("cell", fitted["cell"])
+        copies = fitted.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "child", "hashed", "centre")
         moved = dealt.groupBy("cell", "chunk").cogroup(copies.groupBy("cell", "chunk")).applyInArrow(assign, f"cell long, node long, vec {nodes.schema['vec'].dataType.simpleString()}, home boolean")
         rest = sized.where("n is null").select("cell", "node", "vec", "home")
         members, _ = keep(rest.unionByName(moved), "cells")
