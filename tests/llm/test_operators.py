@@ -113,7 +113,7 @@ def test_mix_blocks_hold_what_is_counted(docs, texts):
         w = brute.words(texts[r["doc_id"]])
         assert r["text"].split(" ") == w[r["first_word"] : r["first_word"] + r["n_words"]]
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["n_words"]
-    counted = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(docs, block_words=16).collect() if r["taken"]}
+    counted = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(docs, block_words=16, shard_blocks=8).collect() if r["taken"]}
     assert taken == counted
     assert len({r["shard"] for r in parts}) > 3
 
@@ -127,7 +127,7 @@ def test_shard_counts_decide_the_mix(spark):
     per = {}
     for r in found:
         per[r["rank"], r["shard"]] = per.get((r["rank"], r["shard"]), 0) + 1
-        assert 0 < r["take"] <= 16 and 0 <= r["block"] < -(-given[r["rank"]]["source_size"] // 16)
+        assert 0 <= r["take"] <= 16 and 0 <= r["block"] < -(-given[r["rank"]]["source_size"] // 16)
     assert per == {(r["rank"], r["shard"]): r["n"] for r in drawn}
     for rank, s in given.items():
         assert sum(r["take"] for r in found if r["rank"] == rank) == round(s["target"])
@@ -136,6 +136,33 @@ def test_shard_counts_decide_the_mix(spark):
     assert sorted(map(tuple, drawn)) == sorted(map(tuple, mixing.shard_counts(sources.repartition(3), 16, 8).collect()))
 
 
+def test_another_draw_is_another_mix(docs, texts):
+    """Other counts of the shards take other words; each draw keeps targets and bounds."""
+    mixes = []
+    for blocks, seed in ((4, 7), (9, 7), (4, 8)):
+        got = mixing.mix_counts(docs, block_words=16, shard_blocks=blocks, seed=seed).collect()
+        assert all(r["taken"] <= 2 * r["size"] for r in got)
+        per = {}
+        for r in got:
+            key = (r["source_size"], r["target"])
+            per[key] = per.get(key, 0) + r["taken"]
+        assert all(abs(n - key[1]) <= 0.5 for key, n in per.items())
+        mixes.append({r["doc_id"]: r["taken"] for r in got})
+    assert mixes[0] != mixes[1] and mixes[0] != mixes[2]
+
+
+def test_shards_take_what_they_drew(spark):
+    """From the same permutation, shards that draw more of a source take more of their stripe."""
+    sources = mixing.source_targets(spark.createDataFrame([("a", 9000), ("b", 4000)], "source string, size long"))
+    counts = mixing.shard_counts(sources, 16, 8).collect()
+    assert len({r["n"] - r["places"] for r in counts if r["rank"] == 2}) > 2
+    found = mixing.slots(mixing.shard_counts(sources, 16, 8), 16).collect()
+    for r in counts:
+        own = [x for x in found if (x["rank"], x["shard"]) == (r["rank"], r["shard"])]
+        assert {x["place"] for x in own} == {r["first"] + j % r["places"] for j in range(r["n"])} and r["n"] <= 2 * r["places"]
+        assert all(max(0, r["n"] // r["places"]) <= [x["place"] for x in own].count(p) <= -(-r["n"] // r["places"]) for p in range(r["first"], r["first"] + r["places"]))
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 64, 1000):
         df = spark.range(n).select("id", mixing._swap_or_not(F.col("id"), F.lit(n).cast("long"), F.lit(3), 7).alias("to"))
