@@ -19,8 +19,8 @@ from lodestone.project import Project
 from lodestone.session import ship
 from lodestone.sources import config as conf
 from lodestone.sources.store import Store
+from lodestone.sources.tree import tree_events
 from lodestone.streaming.events import watch
-from lodestone.streaming.source import tree_events
 
 
 def main() -> None:
@@ -49,7 +49,7 @@ def main() -> None:
         if args.watch:
             state = os.path.join(at, f"watch-{project.session}")
             events = tree_events(spark, root, os.path.join(state, "listings"))
-            watch(events, apply_events(spark, root, project.store, ms()), f"file://{os.path.abspath(state)}/checkpoint").awaitTermination()
+            watch(events, apply_events(spark, root, project.store, ms()), f"file://{os.path.abspath(state)}/checkpoint", gap_ms=300).awaitTermination()
     except KeyboardInterrupt:
         pass
     finally:

@@ -2,7 +2,8 @@
 
 Listing, filters and the incremental comparison are DataFrames; each changed
 file is read and parsed once, in one Arrow function, whose nested result is then
-exploded into the tables. Per-file rows are replaced by anti-join and union.
+exploded into the tables. Per-file rows are replaced by anti-join and union in the buckets
+of the store that hold a changed file.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.extract import extract
@@ -22,8 +24,9 @@ from lodestone.plans.incremental import content_status, file_status
 from lodestone.plans.resolve import resolved
 from lodestone.schema import EXTRACTED, Index, schema
 from lodestone.sources import config as conf
-from lodestone.sources.scan import contents, listing, selected
+from lodestone.sources.scan import contents, selected
 from lodestone.sources.store import PER_FILE, Store, invalidated, last_wins, without_files
+from lodestone.sources.tree import listing
 
 log = logging.getLogger(__name__)
 
@@ -92,54 +95,70 @@ def with_idf(index: Index) -> Index:
     return index
 
 
-def index_project(spark: SparkSession, root: str, store: Store, now_ms: int = 0, config: conf.Config | None = None, paths: list[str] | None = None, refresh_idf: bool = True) -> dict[str, int]:
+def frequency_changes(new: DataFrame, old: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(term, n)``: by how many files each term gains, from the term rows put in and those of the files in ``gone`` taken out."""
+    added = new.select("term", F.lit(1).alias("n"))
+    lost = old.join(gone.select("file_id").distinct(), "file_id", "left_semi").select("term", F.lit(-1).alias("n"))
+    return added.unionByName(lost).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def index_project(spark: SparkSession, root: str, store: Store, now_ms: int = 0, config: conf.Config | None = None, paths: list[str] | DataFrame | None = None, refresh_idf: bool = True) -> dict[str, int]:
     """Bring the store up to date with the tree; returns counts of indexed, skipped, removed and failed files, and the time in ms.
 
     A file on which extraction fails keeps what is stored of it and is tried again by the next run. Only files whose time, then content, changed are parsed. Files that the
-    configuration now leaves out are removed with those that are gone. ``paths``
+    configuration now leaves out are removed with those that are gone. ``paths`` (a list, or rows with a ``path``)
     limits the run to some files; ``refresh_idf=False`` leaves term weights as
-    they are.
+    they are. Only buckets with a changed file are read and written, but for the table of files, which the listing is
+    compared with. The counts are observed in the one pass that finds these buckets.
     """
     config, began = config or conf.load_config(root), time.monotonic()
-    old, whole = store.read(), listing(spark, root).persist()
+    files, whole = store.read().files, listing(spark, root).persist()
     wanted = selected(whole, config)
-    status = file_status(wanted, old.files, config.max_file_size)
-    if paths is not None:
+    status = file_status(wanted, files, config.max_file_size)
+    if isinstance(paths, DataFrame):
+        status = status.join(paths.select("path").distinct(), "path", "left_semi")
+    elif paths is not None:
         status = status.where(F.col("path").isin(paths))
     status = status.persist()
     due = status.where("status = 'read'").select("path")
-    text = contents(spark, root, due).join(whole.select("path", "mtime"), "path").withColumn("hash", content_hash(F.col("content")))
-    told = content_status(text, old.files).persist()
-    fresh = told.where("not touched").drop("touched")
-    fresh, failed, found = without_failed(fresh)
-    errors = failed.collect()  # of one tree
-    for r in errors:
-        log.warning("error indexing %s: %s", r["path"], r["error"])
-    new = tables_of(fresh, found, whole, conf.ts_aliases(root), conf.go_module(root), now_ms)
-    gone = status.where("status = 'removed'").select(F.xxhash64("path").alias("file_id"))
-    changed = fresh.select(F.xxhash64("path").alias("file_id"))
-    drop = gone.unionByName(changed)
-    merged = {t: without_files(getattr(old, t), drop).unionByName(getattr(new, t)) for t in PER_FILE}
-    again = told.where("touched").select("path", F.col("mtime").alias("seen"))
-    merged["files"] = merged["files"].join(again, "path", "left").withColumn("mtime", F.coalesce("seen", "mtime")).drop("seen").select(*schema("files").fieldNames())
-    index = Index(**merged, idf=old.idf, sessions=old.sessions)
-    indexed, touched = fresh.count(), not told.where("touched").isEmpty()
-    if indexed or touched or not gone.isEmpty():
-        store.write(with_idf(index) if refresh_idf else index, [*PER_FILE, "idf"])
-    elif refresh_idf:
-        store.write(with_idf(index), ["idf"])
-    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    text = contents(root, due).join(whole.select("path", "mtime"), "path").withColumn("hash", content_hash(F.col("content")))
+    told = content_status(text, files).persist()
+    fresh, failed, found = without_failed(told.where("not touched").drop("touched"))
+    gone = status.where("status = 'removed'").select("path")
+    kinds = [(gone, "removed"), (told.where("touched"), "touched"), (failed, "failed"), (found, "indexed"), (status.where("status <> 'removed'"), "seen")]
+    start = spark.range(1).select(F.lit(None).cast("string").alias("path"), F.lit("start").alias("kind"))  # Spark drops the metrics of a plan whose result is empty
+    outcome = reduce(DataFrame.unionByName, [df.select("path", F.lit(kind).alias("kind")) for df, kind in kinds], start)
+    run = Observation("index run")
+    observed = outcome.observe(run, *[F.count(F.when(F.col("kind") == kind, 1)).alias(kind) for _, kind in kinds])
+    bucket = F.when(F.col("kind").isin("removed", "touched", "indexed"), store.bucket(file_id()))
+    buckets = sorted(r[0] for r in observed.select(bucket).distinct().collect() if r[0] is not None)
+    counts = run.get
+    if counts["failed"]:
+        for r in failed.limit(100).collect():
+            log.warning("error indexing %s: %s", r["path"], r["error"])
+    if buckets:
+        new = tables_of(fresh, found, whole, conf.ts_aliases(root), conf.go_module(root), now_ms)
+        old = store.read(buckets)
+        drop = gone.unionByName(found.select("path")).select(file_id().alias("file_id"))
+        merged = {t: without_files(getattr(old, t), drop).unionByName(getattr(new, t)) for t in PER_FILE}
+        again = told.where("touched").select("path", F.col("mtime").alias("seen"))
+        merged["files"] = merged["files"].join(again, "path", "left").withColumn("mtime", F.coalesce("seen", "mtime")).drop("seen").select(*schema("files").fieldNames())
+        only = ["files"] if not (counts["indexed"] or counts["removed"]) else PER_FILE
+        deltas = None if only == ["files"] else frequency_changes(new.tfidf, old.tfidf, drop)
+        store.write(Index(**merged, idf=old.idf, sessions=old.sessions), only, buckets, deltas, refresh_idf)
+    if refresh_idf and store.meta().get("pending"):
+        store.write(store.read(), ["idf"])
     for df in (whole, status, told, found):
         df.unpersist()
-    gone_count = counts.get("removed", 0)
-    return {"indexed": indexed, "skipped": sum(counts.values()) - indexed - gone_count - len(errors), "removed": gone_count, "errors": len(errors), "time_ms": round(1000 * (time.monotonic() - began))}
+    return {"indexed": counts["indexed"], "skipped": counts["seen"] - counts["indexed"] - counts["failed"], "removed": counts["removed"], "errors": counts["failed"], "time_ms": round(1000 * (time.monotonic() - began))}
 
 
 def reindex(spark: SparkSession, root: str, store: Store, path: str | None = None, now_ms: int = 0, config: conf.Config | None = None) -> dict[str, int]:
     """Read one file, or all, again whatever its time; the counts of ``index_project``."""
-    index = store.read()
+    buckets = None if path is None else [r[0] for r in spark.range(1).select(store.bucket(file_id(F.lit(path)))).collect()]
+    index = store.read(buckets)
     index.files = invalidated(index.files, path)
-    store.write(index, ["files"])
+    store.write(index, ["files"], buckets)
     return index_project(spark, root, store, now_ms, config, paths=None if path is None else [path])
 
 
@@ -147,8 +166,7 @@ def apply_events(spark: SparkSession, root: str, store: Store, now_ms: int = 0,
     """A function for ``streaming.events.watch``: reindex the paths of a batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in batch.select("path").distinct().collect()]  # one debounce window
-        index_project(spark, root, store, now_ms, paths=paths, refresh_idf=refresh_idf)
+        index_project(spark, root, store, now_ms, paths=batch, refresh_idf=refresh_idf)
 
     return apply
 

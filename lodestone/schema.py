@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 SYMBOL_KINDS = ("function", "class", "interface", "type", "enum", "variable")
 
 DDL = {

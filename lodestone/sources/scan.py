@@ -1,34 +1,16 @@
-"""Listing a source tree on the driver and reading its files with Spark."""
+"""Which files of a tree are indexed, and their contents."""
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_source, language, matches_any_glob
-from lodestone.sources.config import IGNORED_DIRS, Config
-
-
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, mtime, length)`` of all files; dot entries and ignored folders are not entered.
-
-    Folders are pruned while walking, which a file source can't do: it would
-    list every dependency tree first.
-    """
-    rows = []
-    for folder, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in IGNORED_DIRS)
-        for name in sorted(names):
-            if not name.startswith("."):
-                try:
-                    stat = os.stat(os.path.join(folder, name))
-                except OSError:
-                    continue
-                rows.append((os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/"), stat.st_mtime_ns // 1_000_000, stat.st_size))
-    return spark.createDataFrame(rows, "path string, mtime long, length long")
+from lodestone.sources.config import Config
 
 
 def selected(files: DataFrame, config: Config) -> DataFrame:
@@ -40,12 +22,27 @@ def selected(files: DataFrame, config: Config) -> DataFrame:
     return files.where(is_source(path) & inside & language(path).isin(config.languages) & ~matches_any_glob(path, config.exclude))
 
 
-def contents(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
-    """``(path, content)`` of the listed paths; bytes that are no UTF-8 become U+FFFD."""
-    names = [r["path"] for r in paths.select("path").collect()]  # of one source tree
-    if not names:
-        return spark.createDataFrame([], "path string, content string")
-    base = os.path.abspath(root)
-    read = spark.read.format("binaryFile").load([f"file://{base}/{n}" for n in names])
-    relative = F.regexp_replace(F.regexp_replace(F.url_decode("path"), r"^file:/*", "/"), "^" + re.escape(base + "/"), "")
-    return read.select(relative.alias("path"), F.expr("make_valid_utf8(cast(content as string))").alias("content"))
+def contents(root: str, paths: DataFrame) -> DataFrame:
+    """``(path, content)`` of the listed paths, read where the tasks run; bytes that are no UTF-8 become U+FFFD.
+
+    A file that is gone meanwhile has no row.
+    """
+    base, batch = os.path.abspath(root), 1 << 24
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            try:
+                with open(os.path.join(base, name), "rb") as file:
+                    texts.append(file.read())
+            except OSError:
+                continue
+            names.append(name)
+            size += len(texts[-1])
+            if size > batch:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+                names, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["path", "content"])
+
+    read = paths.select("path").repartition("path").mapInArrow(run, "path string, content binary")
+    return read.select("path", F.expr("make_valid_utf8(cast(content as string))").alias("content"))

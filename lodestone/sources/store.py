@@ -1,10 +1,15 @@
 """A versioned Parquet store of index tables.
 
-Every write makes a new version directory of the tables that changed; a small numbered pointer
-file then names where each table is. Readers never see half a version, and a failed write
-leaves the old one. The last ``KEEP`` versions stay for readers that still use them. Plain
-Parquet has no MERGE: an upsert is an anti-join and a union, a cascading delete
-an anti-join in every table.
+Per-file tables lie in buckets by file id. A write makes a new version directory of the
+buckets that changed, and of them alone; a small numbered pointer file then names the version in which each
+bucket of each table is. Readers never see half a version, and a failed write leaves the old one.
+The last ``KEEP`` versions, and all that a bucket is still in, stay. Plain
+Parquet has no MERGE: an upsert is an anti-join and a union within the buckets it meets.
+
+Document frequencies are kept as signed deltas: each write adds the terms of the files it
+puts in and takes off those of the files it replaces, and a term's frequency is the sum. Weights are
+those of the deltas that a refresh has counted, and of the number of files at that time; deltas beyond ``FOLD`` are
+summed into one.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,7 +28,11 @@ from lodestone.schema import DDL, SCHEMA_VERSION, Index, schema
 
 #: Versions and pointers before the newest that are kept.
 KEEP = 3
+#: Buckets of the per-file tables, and deltas of document frequencies before they are summed.
+BUCKETS = 16
+FOLD = 24
 
+FREQUENCY = "term STRING, n LONG"
 PER_FILE = ("files", "symbols", "imports", "exports", "calls", "refs", "tfidf", "contents")
 
 
@@ -52,8 +61,8 @@ def invalidated(files: DataFrame, path: str | None = None) -> DataFrame:
 class Store:
     """Index tables of one project below ``root`` (any path that Spark can write)."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._hadoop = spark._jvm.org.apache.hadoop.fs
 
     def _path(self, name: str):
@@ -94,39 +103,108 @@ class Store:
         for n in found[:-KEEP]:
             fs.delete(self._path(f"CURRENT-{n}.json"), False)
 
-    def _tables(self) -> dict[str, str]:
-        """The folder of each table."""
+    def _meta(self) -> dict:
+        """The pointer's content, if it is of this schema."""
         meta = self.meta()
-        return meta.get("tables", {}) if meta.get("schema_version") == SCHEMA_VERSION else {}
+        return meta if meta.get("schema_version") == SCHEMA_VERSION else {}
 
-    def read(self) -> Index:
-        """The current version; an empty index if there is none or its schema differs."""
-        at = self._tables()
-        if not at:
-            return Index.empty(self.spark)
-        return Index(**{t: self.spark.read.schema(schema(t)).parquet(f"{self.root}/{at[t]}/{t}") for t in DDL})
+    def bucket(self, file_id: str | Column = "file_id") -> Column:
+        """The bucket of a file's rows."""
+        return F.pmod(F.col(file_id) if isinstance(file_id, str) else file_id, F.lit(self._meta().get("buckets", self.buckets))).cast("int")
+
+    def _paths(self, at: dict[str, dict[str, str]], table: str, buckets: Iterable[int] | None = None) -> list[str]:
+        wanted = None if buckets is None else {str(b) for b in buckets}
+        return [f"{self.root}/{v}/{table}" + (f"/bucket={b}" if b else "") for b, v in sorted(at.get(table, {}).items()) if wanted is None or b in wanted]
 
-    def write(self, index: Index, tables: Iterable[str] = tuple(DDL)) -> str:
-        """Write the named tables as a new version and point to it; the others stay where they are."""
-        version, at = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}", dict(self._tables())
+    def read(self, buckets: Iterable[int] | None = None) -> Index:
+        """The current version, or its rows in some buckets; an empty index if there is none or its schema differs."""
+        meta = self._meta()
+        if not meta:
+            return Index.empty(self.spark)
+        at, empty = meta["at"], Index.empty(self.spark)
+        tables = {}
+        for t in DDL:
+            paths = self._paths(at, t, buckets if t in PER_FILE else None)
+            tables[t] = self.spark.read.schema(schema(t)).parquet(*paths) if paths else getattr(empty, t)
+        tables["idf"] = self.inverse_frequencies()
+        return Index(**tables)
+
+    def frequencies(self, pending: bool = False) -> DataFrame:
+        """``(term, n)``: the files that hold each term, by the deltas counted so far, or by all."""
+        meta = self._meta()
+        versions = meta.get("counted", []) + (meta.get("pending", []) if pending else [])
+        if not versions:
+            return self.spark.createDataFrame([], FREQUENCY)
+        deltas = self.spark.read.schema(FREQUENCY).parquet(*[f"{self.root}/{v}/frequency" for v in versions])
+        return deltas.groupBy("term").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def inverse_frequencies(self) -> DataFrame:
+        """``(term, idf)`` as of the last refresh."""
+        return self.frequencies().select("term", F.log(F.lit(float(self._meta().get("weighed_files", 0))) / F.col("n")).alias("idf"))
+
+    def write(self, index: Index, tables: Iterable[str] = tuple(DDL), buckets: Iterable[int] | None = None, deltas: DataFrame | None = None, refresh: bool = True) -> str:
+        """Write the named tables as a new version and point to it; the others stay where they are.
+
+        With ``buckets``, ``index`` holds the rows of these alone, and of per-file
+        tables only they are written. ``deltas(term, n)`` are the changes of document frequencies; without any,
+        a write of "tfidf" counts all its terms anew. ``refresh`` lets the weights follow; else they stay as they are.
+        """
+        meta, version = self._meta(), f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        at = {t: dict(v) for t, v in meta.get("at", {}).items()}
+        named = [t for t in dict.fromkeys((*tables, *(t for t in DDL if t not in at))) if t != "idf"]
         sort = {"files": "path", "symbols": "name", "calls": "callee_name", "tfidf": "term", "refs": "name"}
-        for table in {t: None for t in (*tables, *(t for t in DDL if t not in at))}:
+        for table in named:
             df = getattr(index, table).select(*schema(table).fieldNames())
+            if table not in PER_FILE:
+                df.write.parquet(f"{self.root}/{version}/{table}")
+                at[table] = {"": version}
+                continue
+            told = df.withColumn("bucket", self.bucket())
+            if buckets is not None:
+                told = told.where(F.col("bucket").isin(sorted(buckets)))
             # Sorted files let readers skip row groups by min and max.
-            (df.sortWithinPartitions(sort[table]) if table in sort else df).write.parquet(f"{self.root}/{version}/{table}")
-            at[table] = version
-        older = self.meta().get("older", [])
-        self.set_meta(schema_version=SCHEMA_VERSION, version=version, tables=at, older=[*older, version])
+            order = ["bucket", sort[table]] if table in sort else ["bucket"]
+            told.repartition("bucket").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{version}/{table}")
+            found = {f.getPath().getName().removeprefix("bucket=") for f in self._fs().listStatus(self._path(f"{version}/{table}")) if f.isDirectory()}
+            kept = {} if buckets is None else {b: v for b, v in at.get(table, {}).items() if int(b) not in set(buckets)}
+            at[table] = {**kept, **dict.fromkeys(found, version)}
+        changes = {"schema_version": SCHEMA_VERSION, "version": version, "at": at, "buckets": meta.get("buckets", self.buckets), "older": [*meta.get("older", []), version]}
+        changes |= self._counted(version, index, meta, deltas, recount=deltas is None and buckets is None and "tfidf" in named)
+        if refresh and ("idf" in tables or deltas is not None or "tfidf" in named):
+            changes["counted"], changes["pending"] = changes["counted"] + changes["pending"], []
+            paths = self._paths(at, "files")
+            changes["weighed_files"] = self.spark.read.schema(schema("files")).parquet(*paths).count() if paths else 0  # of the files' footers
+        self.set_meta(**changes)
+        if len(changes["counted"]) > FOLD:
+            self._fold()
         self._clean()
         return version
 
+    def _counted(self, version: str, index: Index, meta: dict, deltas: DataFrame | None, recount: bool) -> dict[str, list[str]]:
+        """The versions whose deltas are counted and are pending, with this one's written."""
+        counted, pending = list(meta.get("counted", [])), list(meta.get("pending", []))
+        if recount:
+            deltas, counted, pending = index.tfidf.groupBy("term").agg(F.count("*").alias("n")), [], []
+        if deltas is not None:
+            deltas.write.parquet(f"{self.root}/{version}/frequency")
+            pending.append(version)
+        return {"counted": counted, "pending": pending}
+
+    def _fold(self) -> None:
+        """Sum the counted deltas into one."""
+        version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        self.frequencies().write.parquet(f"{self.root}/{version}/frequency")
+        self.set_meta(counted=[version], older=[*self._meta()["older"], version])
+
     def _clean(self) -> None:
-        """Delete versions that neither the current pointer nor the ``KEEP`` newest versions use."""
-        meta = self.meta()
-        used = {*meta["tables"].values(), *meta["older"][-KEEP:]}
-        for version in meta["older"]:
-            if version not in used:
-                self._fs().delete(self._path(version), True)
+        """Delete versions in which no bucket and no delta of the current pointer is, but for the ``KEEP`` newest."""
+        meta = self._meta()
+        used = {v for t in meta["at"].values() for v in t.values()} | {*meta["counted"], *meta["pending"]}
+        gone = [v for v in meta["older"][:-KEEP] if v not in used]
+        for version in gone:
+            self._fs().delete(self._path(version), True)
+        if gone:
+            self.set_meta(older=[v for v in meta["older"] if v not in gone])
 
     def start_session(self, now_ms: int) -> int:
         """Open a session and return its id."""

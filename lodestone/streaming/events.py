@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.streaming.keyed import STATE_STORE, bursts
+
 
 def listing_events(before: DataFrame, after: DataFrame, key: str = "path", version: str = "mtime") -> DataFrame:
     """``(path, event)`` between two listings: add, change or unlink. File sources can't see deletes."""
@@ -34,11 +36,11 @@ def coalesced(events: DataFrame, path: str = "path", event: str = "event", seq:
     return events.withColumn("told", told).groupBy(path).agg(F.max_by("told", seq).alias(event))
 
 
-def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "300 milliseconds") -> StreamingQuery:
+def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = "300 milliseconds", gap_ms: int | None = None) -> StreamingQuery:
     """Run ``apply(batch of one event a path, batch id)`` over a stream of ``(path, event, ts, seq)``.
 
-    A micro-batch is the debounce window: its events are coalesced together.
-    ``apply`` has to be idempotent for a batch id, as a restarted query repeats
+    With ``gap_ms`` a path's events are held as keyed state until it was quiet for so long (``keyed.bursts``);
+    without, a micro-batch is the debounce window. ``apply`` has to be idempotent for a batch id, as a restarted query repeats
     its last batch.
     """
 
@@ -46,4 +48,13 @@ def watch(events: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint
         if not batch.isEmpty():
             apply(coalesced(batch), batch_id)
 
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    spark = events.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:  # a query keeps the settings under which it was started
+        for k, v in STATE_STORE.items() if gap_ms is not None else ():
+            spark.conf.set(k, v)
+        told = events if gap_ms is None else bursts(events, gap_ms)
+        return told.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

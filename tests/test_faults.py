@@ -13,7 +13,7 @@ from lodestone.project import Project
 from lodestone.sources import config as conf
 from lodestone.sources.store import KEEP, Store
 from lodestone.streaming.events import watch
-from lodestone.streaming.source import tree_events
+from lodestone.sources.tree import tree_events
 from tests.test_project import FILES, write
 
 UNFINISHED = {
