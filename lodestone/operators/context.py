@@ -95,7 +95,12 @@ def symbol_source(index, symbol: str, file: str | None = None) -> DataFrame:
     hit = index.symbols.where(name_matches(F.col("name"), symbol)).join(index.files.select("file_id", "path"), "file_id")
     if file:
         hit = hit.where(F.col("path") == file)
-    read = hit.join(index.contents, "file_id")
+    return with_source(hit, index.contents).orderBy("name", "path", "from_line")
+
+
+def with_source(symbols: DataFrame, contents: DataFrame) -> DataFrame:
+    """Definitions (with their ``path``) and their text, from the comment above on."""
+    read = symbols.join(contents, "file_id")
     begin = F.when(F.coalesce("doc", F.lit("")) != "", doc_start(F.col("content"), F.col("start_line"))).otherwise(F.col("start_line"))
     placed = read.withColumn("from_line", begin)
-    return placed.select("path", "name", "kind", "is_exported", "signature", "start_line", "from_line", F.col("end_line").alias("to_line"), F.array_join(source_lines(F.col("content"), F.col("from_line"), F.col("end_line")), "\n").alias("source")).orderBy("name", "path", "from_line")
+    return placed.select("path", "name", "kind", "is_exported", "signature", "start_line", "from_line", F.col("end_line").alias("to_line"), F.array_join(source_lines(F.col("content"), F.col("from_line"), F.col("end_line")), "\n").alias("source"))

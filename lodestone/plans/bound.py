@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -179,19 +180,36 @@ def dependencies_by_turn(spark, d):
     return G.dependency_levels(edges.withColumn("seq", F.lit(0)), "1:0", "dependencies", 6).select("path", "depth")
 
 
-@bound()
+def place(key: Column) -> Column:
+    """The path of a place in a call tree as text that sorts as it does."""
+    return F.array_join(F.transform(key, lambda x: F.lpad(x.cast("string"), 6, "0")), ".")
+
+
+def walk_sql(children: str, root: str, depth: int) -> str:
+    """A depth-first walk ``w`` in SQL, a row a step: the stack and what was expanded are lists in the row.
+
+    ``children`` is a table ``(name, kids)`` of each name's callees in order.
+    """
+    kids = lambda key, level: f"list_transform(range(1, len(kids) + 1), lambda x: {{'n': kids[x], 'd': {level} + 1, 'k': {key} || lpad(x::VARCHAR, 6, '0')}})"
+    return f"""w AS (SELECT '' AS key, 0 AS depth, name, true AS expanded, {kids("''", "0")} AS stack, [name] AS seen FROM {children} WHERE name = {root}
+  UNION ALL SELECT top.k, top.d, top.n, opens, CASE WHEN opens THEN list_concat({kids("top.k || '.'", "top.d")}, rest) ELSE rest END, CASE WHEN opens THEN list_append(seen, top.n) ELSE seen END
+  FROM (SELECT w.stack[1] AS top, w.stack[2:] AS rest, w.seen, t.kids, t.kids IS NOT NULL AND w.stack[1].d < {depth} AND NOT list_contains(w.seen, w.stack[1].n) AS opens
+    FROM w LEFT JOIN {children} t ON t.name = w.stack[1].n WHERE len(w.stack) > 0))"""
+
+
+@bound(f"""WITH RECURSIVE p AS (SELECT event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events),
+f AS (SELECT event_type, next, min(event_id) AS seq FROM p WHERE next IS NOT NULL GROUP BY ALL), h AS (SELECT event_type AS name, list(next ORDER BY seq) AS kids FROM f GROUP BY event_type),
+{walk_sql("h", "'click'", 3)} SELECT key, depth::INTEGER AS depth, name, expanded FROM w""")
 def call_tree(spark, d):
-    """Event types that follow one another, as a call tree of depth 3 in pre-order."""
+    """Event types that follow one another, as a call tree of depth 3."""
     e = table(spark, d, "events")
-    from pyspark.sql import Window as W
-
     pairs = e.select("event_id", "event_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("next")).where("next is not null")
     first = pairs.groupBy("event_type", "next").agg(F.min("event_id").alias("seq"))
     files = e.select(F.lit(1).cast("long").alias("file_id"), F.lit("events").alias("path")).limit(1)
     symbols = e.select(F.xxhash64("event_type").alias("symbol_id"), F.lit(1).cast("long").alias("file_id"), F.col("event_type").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("start_line")).distinct()
     calls = first.select(F.xxhash64("event_type").alias("caller_symbol_id"), F.col("next").alias("callee_name"), F.lit(1).alias("line"), F.col("seq"))
-    rows = G.call_tree(calls, symbols, files, "click", depth=3)
-    return spark.createDataFrame([(i, r["depth"], r["name"], r["expanded"]) for i, r in enumerate(rows)], "place int, depth int, name string, expanded boolean")
+    rows = G.call_tree_rows(calls, symbols, files, "click", depth=3)
+    return rows.select(place(F.col("key")).alias("key"), "depth", "name", "expanded")
 
 
 @bound(r"""WITH p AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS s FROM pages),

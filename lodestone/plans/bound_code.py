@@ -1,12 +1,15 @@
-"""Queries over the sample project, with their rows written out by hand as SQL.
+"""The code queries over a source tree that Spark derives from the driver's tables.
 
-They run extraction, import resolution and the queries whose meaning is on code; the
-driver's tables are not read.
+Every customer is a module in one of five languages (by key); the next customer of the same nation and
+language is what it imports and calls, and each of its orders is a call. So the tree grows with the tables. It goes through
+extraction, import resolution and the operators like any other, while the SQL tells the rows from
+the tables alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_hash
@@ -15,152 +18,175 @@ from lodestone.operators import context as X
 from lodestone.operators import graph as G
 from lodestone.operators import lookup as L
 from lodestone.operators import search as S
-from lodestone.plans.bound import bound
+from lodestone.plans.bound import bound, place, walk_sql
 from lodestone.plans.index import tables_of, with_idf, without_failed
-from lodestone.plans.sample import MODULE, SOURCES
 from lodestone.schema import Index
 
-
-def sample_index(spark: SparkSession) -> Index:
-    read = spark.createDataFrame([(p, t, 1) for p, t in SOURCES.items()], "path string, content string, mtime long").withColumn("hash", content_hash(F.col("content")))
+MODULE = "example.com/demo"
+#: Of each language: path, lines before the calls, a call, lines after. ``{i}`` is the module, ``{j}`` the next, ``{doc}`` a name,
+#: ``{o}`` an order; a pair is what stands there with a next module and without.
+TEMPLATES: list[tuple[str, list[str | tuple[str, str]], str, list[str | tuple[str, str]]]] = [
+    ("src/m{i}.ts", [("import {{ f{j} }} from './m{j}.js'", "// first"), "", "/** {doc} */", "export async function f{i}(x: object) {{"], "  step{o}(x)", [("  return f{j}(x)", "  return x"), "}}", "", "function g{i}() {{", "  return f{i}({{}})", "}}"]),
+    ("lib/m{i}.py", [("from .m{j} import f{j}", "# first"), "", "", "def f{i}(x):", '    """{doc}"""'], "    step{o}(x)", [("    return f{j}(x)", "    return x"), "", "", "def _g{i}():", "    return f{i}({{}})"]),
+    ("app/m{i}/m.go", ["package m{i}", "", ('import "example.com/demo/app/m{j}"', "// first"), "", "// {doc}", "func F{i}(x int) int {{"], "\tstep{o}(x)", [("\treturn m{j}.F{j}(x)", "\treturn x"), "}}", "", "func g{i}() int {{", "\treturn F{i}(1)", "}}"]),
+    ("src/a/M{i}.java", ["package a;", "", ("import a.M{j};", "// first"), "", "public class M{i} {{", "    /** {doc} */", "    public void f{i}(Object x) {{"], "        step{o}(x);", [("        M{j}.f{j}(x);", "        x.wait();"), "    }}", "", "    private void g{i}() {{", "        f{i}(null);", "    }}", "}}"]),
+    ("src/m{i}.rs", [("use crate::m{j}::f{j};", "// first"), "", "/// {doc}", "pub fn f{i}(x: u32) -> u32 {{"], "    step{o}(x);", [("    f{j}(x)", "    x"), "}}", "", "fn g{i}() -> u32 {{", "    f{i}(1)", "}}"]),
+]
+
+
+def _filled(template: str | tuple[str, str]) -> Column:
+    """A template's text for the row's module."""
+    if isinstance(template, tuple):
+        return F.when(F.col("j").isNotNull(), _filled(template[0])).otherwise(_filled(template[1]))
+    text = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    for name in ("i", "j", "doc"):
+        if f"{{{name}}}" in template:
+            text = F.replace(text, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+    return text
+
+
+def _calls(ahead: str, behind: str) -> Column:
+    return F.transform("steps", lambda o: F.concat(F.lit(ahead), o.cast("string"), F.lit(behind)))
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """``(path, content, mtime)`` of the derived tree."""
+    customer, orders = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
+    turn = W.partitionBy(F.col("i") % 5, "nation").orderBy("i")
+    modules = customer.select(F.col("c_custkey").alias("i"), F.col("c_name").alias("doc"), F.col("c_nationkey").alias("nation")).withColumn("j", F.lead("i").over(turn))
+    steps = orders.groupBy(F.col("o_custkey").alias("i")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("steps"))  # a customer's orders are one file
+    whole = modules.join(steps, "i", "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<long>")))
+    told: dict[str, Column] = {"path": F.lit(None), "content": F.lit(None)}
+    for k, (path, before, call, after) in enumerate(TEMPLATES):
+        lines = F.concat(F.array(*map(_filled, before)), _calls(*call.split("{o}")), F.array(*map(_filled, after)), F.array(F.lit("")))
+        told = {"path": F.when(F.col("i") % 5 == k, _filled(path)).otherwise(told["path"]), "content": F.when(F.col("i") % 5 == k, F.array_join(lines, "\n")).otherwise(told["content"])}
+    return whole.select(told["path"].alias("path"), told["content"].alias("content"), F.lit(1).cast("long").alias("mtime"))
+
+
+def derived_index(spark: SparkSession, d: str) -> Index:
+    read = sources(spark, d).withColumn("hash", content_hash(F.col("content")))
     good, _, found = without_failed(read)
     return with_idf(tables_of(good, found, read.select("path"), (None, []), MODULE, 0))
 
 
-def _sql(columns: str, rows: list[tuple]) -> str:
-    """``columns`` (name type, ...) of written-out rows as a query."""
-    told = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'" if not isinstance(v, list) else "[" + ", ".join(map(told, v)) + "]::VARCHAR[]"
-    named = [c.strip().split(" ") for c in columns.split(",")]
-    cast = ", ".join(f"{n}::{t} AS {n}" for n, t in named)
-    return f"SELECT {cast} FROM (VALUES {', '.join('(' + ', '.join(map(told, r)) + ')' for r in rows)}) v({', '.join(n for n, _ in named)})"
-
-
 def _placed(index: Index, table: str) -> DataFrame:
     return getattr(index, table).join(index.files.select("file_id", "path"), "file_id")
 
 
-@bound(_sql("path VARCHAR, name VARCHAR, kind VARCHAR, start_line INTEGER, end_line INTEGER, is_exported BOOLEAN, doc VARCHAR", [
-    ("app/auth/auth.go", "Store", "class", 6, 6, True, "// Store holds names."), ("app/auth/auth.go", "Store.Open", "function", 8, 11, True, None),
-    ("app/auth/auth.go", "check", "function", 13, 13, False, None), ("app/main.go", "main", "function", 5, 5, False, None),
-    ("lib/tool.py", "Tool", "class", 5, 9, True, "A tool."), ("lib/tool.py", "_hidden", "function", 12, 13, False, None), ("lib/util.py", "load", "function", 1, 2, True, None),
-    ("src/Door.cs", "Door", "class", 5, 13, True, None), ("src/Door.cs", "Door.Width", "variable", 7, 7, True, None), ("src/Door.cs", "Door.Shut", "function", 9, 12, True, None),
-    ("src/a/Box.java", "Box", "class", 6, 11, True, None), ("src/a/Box.java", "Box.open", "function", 8, 10, True, "/** Opens it. */"),
-    ("src/a/Lid.java", "Lid", "interface", 3, 5, True, None), ("src/a/Lid.java", "Lid.lift", "function", 4, 4, True, None),
-    ("src/kinds/account.ts", "Account", "interface", 1, 3, True, None), ("src/kinds/account.ts", "Role", "enum", 5, 7, True, None), ("src/kinds/account.ts", "Key", "type", 9, 9, True, None),
-    ("src/lib.rs", "Desk", "class", 3, 5, True, None), ("src/lib.rs", "Desk.tidy", "function", 8, 10, True, None), ("src/lib.rs", "helper", "function", 13, 15, False, None),
-    ("src/lib/text.ts", "digest", "function", 1, 3, True, None), ("src/lib/text.ts", "Words", "class", 5, 9, True, None),
-    ("src/main.ts", "onEnter", "function", 5, 8, True, None), ("src/main.ts", "onLeave", "function", 10, 12, True, None), ("src/old.js", "plain", "function", 3, 5, False, None),
-    ("src/session.ts", "LIMIT", "variable", 3, 3, True, None), ("src/session.ts", "NEVER", "variable", 4, 4, False, None), ("src/session.ts", "signIn", "function", 7, 13, True, "/** Begins a session. */"),
-    ("src/session.ts", "prepare", "function", 15, 17, False, None), ("src/session.ts", "signOut", "function", 19, 21, True, None),
-    ("src/store.rs", "Shelf", "interface", 1, 3, True, None), ("src/view.tsx", "View", "function", 3, 5, True, None),
-]))
+#: Modules ``m`` with path ``p``, next module ``j`` and its path ``q``, the lines of f and g (before the ``n`` calls: f0, c0; after them, to be moved by n: r0 its last call, e0 its end, g0 to g2), and orders ``s``.
+_TREE = """WITH l(k, f0, c0, r0, e0, g0, g1, g2) AS (VALUES (0, 4, 5, 5, 6, 8, 9, 10), (1, 4, 6, 6, 6, 9, 10, 10), (2, 6, 7, 7, 8, 10, 11, 12), (3, 7, 8, 8, 9, 11, 12, 13), (4, 4, 5, 5, 6, 8, 9, 10)),
+a AS (SELECT c_custkey AS i, c_name AS doc, c_nationkey AS nation, c_custkey % 5 AS k, lead(c_custkey) OVER (PARTITION BY c_custkey % 5, c_nationkey ORDER BY c_custkey) AS j FROM customer),
+s AS (SELECT o_custkey AS i, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+b AS (SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN (SELECT i, count(*) AS n FROM s GROUP BY i) USING (i)),
+m AS (SELECT i, j, k, nation, doc, n, CASE k WHEN 0 THEN 'src/m' || i || '.ts' WHEN 1 THEN 'lib/m' || i || '.py' WHEN 2 THEN 'app/m' || i || '/m.go' WHEN 3 THEN 'src/a/M' || i || '.java' ELSE 'src/m' || i || '.rs' END AS p,
+  CASE k WHEN 0 THEN 'src/m' || j || '.ts' WHEN 1 THEN 'lib/m' || j || '.py' WHEN 2 THEN 'app/m' || j || '/m.go' WHEN 3 THEN 'src/a/M' || j || '.java' ELSE 'src/m' || j || '.rs' END AS q,
+  CASE k WHEN 2 THEN 'F' || i WHEN 3 THEN 'M' || i || '.f' || i ELSE 'f' || i END AS f, CASE k WHEN 1 THEN '_g' || i WHEN 3 THEN 'M' || i || '.g' || i ELSE 'g' || i END AS g,
+  f0, c0, r0 + n AS r0, e0 + n AS e0, g0 + n AS g0, g1 + n AS g1, g2 + n AS g2 FROM b JOIN l USING (k)),
+u AS (SELECT DISTINCT q FROM m WHERE j IS NOT NULL)"""
+_CALLS = """c AS (SELECT p, f AS caller, 'step' || o AS callee, (c0 + nth - 1)::INTEGER AS line FROM m JOIN s USING (i)
+  UNION ALL SELECT p, f, CASE k WHEN 2 THEN 'm' || j || '.F' || j WHEN 3 THEN 'M' || j || '.f' || j ELSE 'f' || j END, r0 FROM m WHERE j IS NOT NULL
+  UNION ALL SELECT p, f, 'x.wait', r0 FROM m WHERE j IS NULL AND k = 3
+  UNION ALL SELECT p, g, CASE k WHEN 2 THEN 'F' ELSE 'f' END || i, g1 FROM m)"""
+
+
+@bound(f"""{_TREE} SELECT p AS path, f AS name, 'function' AS kind, f0::INTEGER AS start_line, e0::INTEGER AS end_line, true AS is_exported, CASE k WHEN 0 THEN '/** ' || doc || ' */' WHEN 1 THEN doc WHEN 2 THEN '// ' || doc WHEN 3 THEN '/** ' || doc || ' */' ELSE '/// ' || doc END AS doc FROM m
+UNION ALL SELECT p, g, 'function', g0, g2, false, NULL FROM m UNION ALL SELECT p, 'M' || i, 'class', 5, g2 + 1, true, NULL FROM m WHERE k = 3""")
 def code_symbols(spark, d):
-    return _placed(sample_index(spark), "symbols").select("path", "name", "kind", "start_line", "end_line", "is_exported", "doc")
+    return _placed(derived_index(spark, d), "symbols").select("path", "name", "kind", "start_line", "end_line", "is_exported", "doc")
 
 
-@bound(_sql("path VARCHAR, symbol VARCHAR, from_path VARCHAR, is_type_only BOOLEAN, is_external BOOLEAN", [
-    ("app/auth/auth.go", "fmt", "fmt", False, True), ("app/main.go", "auth", "app/auth/auth.go", False, False),
-    ("lib/tool.py", "os", "os", False, True), ("lib/tool.py", "get", "lib/util.py", False, False), ("src/Door.cs", "System", "System", False, True),
-    ("src/a/Box.java", "Lid", "src/a/Lid.java", False, False), ("src/a/Box.java", "List", "java.util.List", False, True), ("src/lib.rs", "Shelf", "src/store.rs", False, False),
-    ("src/main.ts", "signIn", "src/session.ts", False, False), ("src/main.ts", "signOut", "src/session.ts", False, False), ("src/main.ts", "Account", "src/kinds/index.ts", True, False),
-    ("src/main.ts", "* as path", "path", False, True), ("src/session.ts", "digest", "src/lib/text.ts", False, False), ("src/view.tsx", "onEnter", "src/main.ts", False, False),
-]))
+@bound(f"""{_TREE} SELECT p AS path, CASE k WHEN 2 THEN 'm' || j WHEN 3 THEN 'M' || j ELSE 'f' || j END AS symbol, q AS from_path, false AS is_type_only, false AS is_external FROM m WHERE j IS NOT NULL""")
 def code_imports(spark, d):
-    return _placed(sample_index(spark), "imports").select("path", "symbol", "from_path", "is_type_only", "is_external")
+    return _placed(derived_index(spark, d), "imports").select("path", "symbol", "from_path", "is_type_only", "is_external")
 
 
-@bound(_sql("path VARCHAR, symbol VARCHAR, is_reexport BOOLEAN, original_path VARCHAR", [
-    ("app/auth/auth.go", "Store", False, None), ("app/auth/auth.go", "Store.Open", False, None), ("lib/tool.py", "Tool", False, None), ("lib/util.py", "load", False, None),
-    ("src/Door.cs", "Door", False, None), ("src/Door.cs", "Door.Width", False, None), ("src/Door.cs", "Door.Shut", False, None), ("src/a/Box.java", "Box", False, None), ("src/a/Box.java", "Box.open", False, None),
-    ("src/a/Lid.java", "Lid", False, None), ("src/a/Lid.java", "Lid.lift", False, None), ("src/kinds/account.ts", "Account", False, None), ("src/kinds/account.ts", "Role", False, None), ("src/kinds/account.ts", "Key", False, None),
-    ("src/kinds/index.ts", "Account", True, "src/kinds/account.ts"), ("src/kinds/index.ts", "Role", True, "src/kinds/account.ts"), ("src/lib.rs", "Desk", False, None), ("src/lib.rs", "Desk.tidy", False, None),
-    ("src/lib/text.ts", "digest", False, None), ("src/lib/text.ts", "Words", False, None), ("src/main.ts", "onEnter", False, None), ("src/main.ts", "onLeave", False, None),
-    ("src/session.ts", "LIMIT", False, None), ("src/session.ts", "signIn", False, None), ("src/session.ts", "signOut", False, None), ("src/store.rs", "Shelf", False, None), ("src/view.tsx", "View", False, None),
-]))
+@bound(f"""{_TREE} SELECT p AS path, f AS symbol, false AS is_reexport FROM m UNION ALL SELECT p, 'M' || i, false FROM m WHERE k = 3""")
 def code_exports(spark, d):
-    return _placed(sample_index(spark), "exports").select("path", "symbol", "is_reexport", "original_path")
+    return _placed(derived_index(spark, d), "exports").select("path", "symbol", "is_reexport")
 
 
-@bound(_sql("path VARCHAR, caller VARCHAR, callee_name VARCHAR, line INTEGER", [
-    ("app/auth/auth.go", "Store.Open", "fmt.Println", 9), ("app/auth/auth.go", "Store.Open", "check", 10), ("app/main.go", "main", "auth.New", 5), ("lib/util.py", "load", "open", 2),
-    ("src/Door.cs", "Door.Shut", "Console.WriteLine", 11), ("src/a/Box.java", "Box.open", "lid.lift", 9), ("src/lib/text.ts", "digest", "String", 2),
-    ("src/main.ts", "onEnter", "console.log", 6), ("src/main.ts", "onEnter", "signIn", 7), ("src/main.ts", "onLeave", "signOut", 11), ("src/old.js", "plain", "digest", 4),
-    ("src/session.ts", "signIn", "digest", 9), ("src/session.ts", "signIn", "prepare", 9), ("src/session.ts", "signIn", "console.error", 11), ("src/session.ts", "prepare", "x.trim", 16),
-    ("src/session.ts", "signOut", "fetch", 20), ("src/view.tsx", "View", "onEnter", 4),
-]))
+@bound(f"""{_TREE}, {_CALLS} SELECT p AS path, caller, callee AS callee_name, line FROM c""")
 def code_calls(spark, d):
-    i = sample_index(spark)
+    i = derived_index(spark, d)
     return L.callers(i.calls, i.symbols, i.files).select("path", "caller", "callee_name", "line")
 
 
-@bound(_sql("pattern VARCHAR, path VARCHAR, line INTEGER, name VARCHAR, caller VARCHAR", [
-    ("async_functions", "src/main.ts", 5, "onEnter", None), ("async_functions", "src/session.ts", 7, "signIn", None),
-    ("error_handlers", "src/session.ts", 11, "signIn", None), ("http_calls", "src/session.ts", 20, "fetch", "signOut"),
-]))
+@bound(f"""{_TREE} SELECT 'async_functions' AS pattern, p AS path, f0::INTEGER AS line, f AS name FROM m WHERE k = 0""")
 def code_patterns(spark, d):
-    i, out = sample_index(spark), None
+    i, out = derived_index(spark, d), None
     for p in ("async_functions", "error_handlers", "http_calls", "env_access"):
-        found = L.search_by_pattern(i, p).select(F.lit(p).alias("pattern"), "path", F.col("line").cast("int").alias("line"), "name", "caller")
+        found = L.search_by_pattern(i, p).select(F.lit(p).alias("pattern"), "path", F.col("line").cast("int").alias("line"), "name")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-@bound(_sql("place INTEGER, depth INTEGER, name VARCHAR, path VARCHAR, line INTEGER, expanded BOOLEAN", [
-    (0, 0, "onEnter", "src/main.ts", None, True), (1, 1, "console.log", None, 6, False), (2, 1, "signIn", "src/session.ts", 7, True), (3, 2, "prepare", "src/session.ts", 9, True),
-    (4, 3, "x.trim", None, 16, False), (5, 2, "digest", "src/lib/text.ts", 9, True), (6, 3, "String", None, 2, False), (7, 2, "console.error", None, 11, False),
-]))
-def code_call_tree(spark, d):
-    i = sample_index(spark)
-    rows = G.call_tree(i.calls, i.symbols, i.files, "onEnter", None, 3)
-    return spark.createDataFrame([(k, r["depth"], r["name"], r["path"], r["line"], r["expanded"]) for k, r in enumerate(rows)], "place int, depth int, name string, path string, line int, expanded boolean")
-
-
-@bound(_sql("symbol VARCHAR, from_path VARCHAR, kind VARCHAR, start_line INTEGER", [("signIn", "src/session.ts", "function", 7), ("signOut", "src/session.ts", "function", 19), ("Account", "src/kinds/index.ts", None, None), ("* as path", "path", None, None)]))
+@bound(f"""{_TREE} SELECT a.p AS path, CASE a.k WHEN 2 THEN 'm' || a.j WHEN 3 THEN 'M' || a.j ELSE 'f' || a.j END AS symbol, a.q AS from_path, CASE a.k WHEN 2 THEN 0 WHEN 3 THEN 5 ELSE b.f0 END::BIGINT AS start_line FROM m a JOIN m b ON a.j = b.i""")
 def code_context_imports(spark, d):
-    return X.smart_context(sample_index(spark), "src/main.ts")["imports"].select("symbol", "from_path", "kind", "start_line")
+    """Every import with the symbol it names; a package's name is no symbol and has line 0."""
+    i = derived_index(spark, d)
+    named = X.with_targets(i.imports, i.files, i.symbols).join(i.files.select("file_id", "path"), "file_id")
+    return named.select("path", "symbol", "from_path", F.coalesce("start_line", F.lit(0)).cast("long").alias("start_line"))
 
 
-@bound(_sql("path VARCHAR, lines INTEGER, exports VARCHAR[], internal_imports VARCHAR[], external_imports VARCHAR[], imported_by VARCHAR[]", [("src/session.ts", 22, ["LIMIT", "signIn", "signOut"], ["src/lib/text.ts"], [], ["src/main.ts"])]))
+@bound(f"""{_TREE}, t AS (SELECT * FROM m WHERE i = (SELECT min(i) FROM m WHERE i % 5 = 0 AND i IN (SELECT j FROM a)))
+SELECT t.p AS path, (n + 11)::INTEGER AS lines, [f] AS exports, CASE WHEN j IS NULL THEN [] ELSE [q] END AS internal_imports, []::VARCHAR[] AS external_imports, list_sort((SELECT list(x.p) FROM m x WHERE x.j = t.i)) AS imported_by FROM t""")
 def code_file_summary(spark, d):
-    return X.file_summary(sample_index(spark), "src/session.ts", 0).select("path", "lines", "exports", "internal_imports", "external_imports", "imported_by")
+    """The first script module that another one imports."""
+    i = derived_index(spark, d)
+    at = i.imports.where("from_path like 'src/m%.ts'").agg(F.min_by("from_path", F.regexp_extract("from_path", r"m(\d+)\.ts", 1).cast("long"))).first()[0]
+    return X.file_summary(i, at, 0).select("path", "lines", "exports", "internal_imports", "external_imports", "imported_by")
 
 
-@bound(_sql("path VARCHAR, name VARCHAR, from_line INTEGER, to_line INTEGER, source VARCHAR", [
-    ("app/auth/auth.go", "Store", 5, 6, "// Store holds names.\ntype Store struct{ n int }"), ("src/a/Box.java", "Box.open", 7, 10, "    /** Opens it. */\n    public void open(Lid lid) {\n        lid.lift();\n    }"),
-    ("src/kinds/account.ts", "Key", 9, 9, "export type Key = string"),
-]))
+@bound(f"""{_TREE} SELECT p AS path, g AS name, g0::INTEGER AS from_line, g2::INTEGER AS to_line, CASE k WHEN 0 THEN 'function ' || g || '() {{' || chr(10) || '  return f' || i || '({{}})' || chr(10) || '}}'
+WHEN 1 THEN 'def ' || g || '():' || chr(10) || '    return f' || i || '({{}})' WHEN 2 THEN 'func ' || g || '() int {{' || chr(10) || chr(9) || 'return F' || i || '(1)' || chr(10) || '}}'
+WHEN 3 THEN '    private void g' || i || '() {{' || chr(10) || '        f' || i || '(null);' || chr(10) || '    }}' ELSE 'fn ' || g || '() -> u32 {{' || chr(10) || '    f' || i || '(1)' || chr(10) || '}}' END AS source FROM m""")
 def code_symbol_source(spark, d):
-    i = sample_index(spark)
-    hits = [X.symbol_source(i, n).select("path", "name", "from_line", "to_line", "source") for n in ("Store", "Box.open", "Key")]
-    return hits[0].unionByName(hits[1]).unionByName(hits[2])
+    """The source of every private function."""
+    i = derived_index(spark, d)
+    return X.with_source(_placed(i, "symbols").where("not is_exported"), i.contents).select("path", "name", "from_line", "to_line", "source")
 
 
-@bound(_sql("path VARCHAR, depth INTEGER, via VARCHAR", [("src/session.ts", 1, "src/lib/text.ts"), ("src/main.ts", 2, "src/session.ts"), ("src/view.tsx", 3, "src/main.ts")]))
+@bound(f"""{_TREE}, t AS (SELECT max(j) AS j FROM m WHERE k = 1), r1 AS (SELECT m.* FROM m, t WHERE m.j = t.j), r2 AS (SELECT m.* FROM m, r1 WHERE m.j = r1.i), r3 AS (SELECT m.* FROM m, r2 WHERE m.j = r2.i)
+SELECT p AS path, 1 AS depth, q AS via FROM r1 UNION ALL SELECT p, 2, q FROM r2 UNION ALL SELECT p, 3, q FROM r3""")
 def code_dependents(spark, d):
-    i = sample_index(spark)
-    return G.dependency_levels(G.import_edges(i.imports, i.files), "src/lib/text.ts", "dependents", 3).select("path", "depth", "via")
+    """What depends on the Python module of the highest number that is imported."""
+    i = derived_index(spark, d)
+    edges = G.import_edges(i.imports, i.files)
+    at = edges.where("dst like 'lib/m%.py'").agg(F.max_by("dst", F.regexp_extract("dst", r"m(\d+)\.py", 1).cast("long"))).first()[0]
+    return G.dependency_levels(edges, at, "dependents", 3).select("path", "depth", "via")
 
 
-@bound(_sql("path VARCHAR, name VARCHAR, start_line INTEGER", [("lib/tool.py", "_hidden", 12), ("src/session.ts", "NEVER", 4)]))
+@bound(f"""{_TREE} SELECT p AS path, g AS name, g0::INTEGER AS start_line FROM m""")
 def code_unused(spark, d):
-    i = sample_index(spark)
-    return L.unused_code(i.symbols, i.files, i.refs, i.imports, i.exports).select("path", "name", "start_line")
+    i = derived_index(spark, d)
+    return L.unused_code(i.symbols, i.files, i.refs, i.imports, i.exports, limit=2**31 - 1).select("path", "name", "start_line")
 
 
-@bound(_sql("path VARCHAR, symbol VARCHAR", [
-    ("app/auth/auth.go", "Store"), ("app/auth/auth.go", "Store.Open"), ("lib/tool.py", "Tool"), ("lib/util.py", "load"), ("src/Door.cs", "Door"), ("src/Door.cs", "Door.Shut"), ("src/Door.cs", "Door.Width"), ("src/a/Box.java", "Box"), ("src/a/Box.java", "Box.open"),
-    ("src/a/Lid.java", "Lid.lift"), ("src/kinds/account.ts", "Key"), ("src/lib.rs", "Desk"), ("src/lib.rs", "Desk.tidy"), ("src/lib/text.ts", "Words"), ("src/main.ts", "onLeave"), ("src/session.ts", "LIMIT"), ("src/view.tsx", "View"),
-]))
+@bound(f"""{_TREE} SELECT p AS path, f AS symbol FROM m WHERE k IN (2, 3) OR p NOT IN (SELECT q FROM u) UNION ALL SELECT p, 'M' || i FROM m WHERE k = 3 AND p NOT IN (SELECT q FROM u)""")
 def code_unused_exports(spark, d):
-    i = sample_index(spark)
-    return L.unused_exports(i.exports, i.files, i.imports, i.symbols).select("path", "symbol")
+    """Those of packages and classes are used under their package's or class's name, so their members stay listed."""
+    i = derived_index(spark, d)
+    return L.unused_exports(i.exports, i.files, i.imports, i.symbols, limit=2**31 - 1).select("path", "symbol")
 
 
-@bound(_sql("path VARCHAR", [("src/session.ts",), ("src/lib/text.ts",)]))
+@bound(f"""{_TREE}, t AS (SELECT min(o) AS o FROM s) SELECT p AS path FROM m JOIN s USING (i) JOIN t USING (o)""")
 def code_search(spark, d):
-    """Files with a rare word of the question; ``ln(16 / 1)`` weighs words of one file most."""
-    i = sample_index(spark)
-    return S.search_code(i.files, i.exports, i.tfidf, i.idf, "begins words", 10).select("path")
+    """The file that calls the first order's step."""
+    i = derived_index(spark, d)
+    first = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_orderkey")).first()[0]
+    return S.search_code(i.files, i.exports, i.tfidf, i.idf, f"step{first}", 10).select("path")
+
+
+@bound(f"""{_TREE.replace("WITH l(", "WITH RECURSIVE l(", 1)}, {_CALLS},
+z AS (SELECT min(i) AS i FROM m WHERE k = 0), y AS (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY line) AS nth FROM c),
+h AS (SELECT caller AS name, list(callee ORDER BY nth) AS kids FROM y GROUP BY caller), {walk_sql("h", "(SELECT 'f' || i FROM z)", 5)}
+SELECT key, depth::INTEGER AS depth, name, expanded FROM w""")
+def code_call_tree(spark, d):
+    """The calls within five levels of the first script module's function."""
+    i = derived_index(spark, d)
+    first = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 5 = 0").agg(F.min("c_custkey")).first()[0]
+    rows = G.call_tree_rows(i.calls, i.symbols, i.files, f"f{first}", depth=5)
+    return rows.select(place(F.col("key")).alias("key"), "depth", "name", "expanded")
 
 
 @bound("""WITH s AS (SELECT user_id::VARCHAR AS path, sum(event_id)::VARCHAR AS hash, list_sort(list(DISTINCT event_type)) AS symbols FROM events GROUP BY user_id) SELECT path, hash, symbols FROM s""")
