@@ -47,9 +47,14 @@ def ilike_any(column: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [ilike(column, p) for p in patterns])
 
 
+def name_pattern(query: str) -> str:
+    """The LIKE pattern of a name in which ``*`` stands for any run of signs."""
+    return escaped(query).replace("*", "%")
+
+
 def name_matches(column: Column, query: str) -> Column:
     """Case-insensitive equality in which ``*`` stands for any run of signs."""
-    return ilike(column, escaped(query).replace("*", "%"))
+    return ilike(column, name_pattern(query))
 
 
 def path_under(column: Column, scope: str | None) -> Column:

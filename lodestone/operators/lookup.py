@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ilike, ilike_any, name_matches, path_under
+from lodestone.functions.text import ilike, ilike_any, name_matches, name_pattern, path_under
+from lodestone.operators.trigrams import names_like, names_like_any
 
 # The name patterns of each search.
 HTTP_CALLS = ("fetch%", "axios%", "http.%", "https.%", "requests.%", "urllib%", "httpx.%", "aiohttp.%", "reqwest::%", "reqwest.%", "hyper::%", "ureq::%")
@@ -19,9 +20,15 @@ TEST_PATHS = ("%.test.%", "%.spec.%", "%__tests__%", "%test/%", "%!_test.go", "%
 PATTERNS = ("http_calls", "env_access", "async_functions", "error_handlers", "todos", "test_files")
 
 
-def find_symbol(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, scope: str | None = None, limit: int = 100) -> DataFrame:
-    """Definitions whose name matches, in order of name, path and line."""
-    hit = symbols.where(name_matches(F.col("name"), query))
+def find_symbol(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, scope: str | None = None, limit: int = 100, grams: DataFrame | None = None) -> DataFrame:
+    """Definitions whose name matches, in order of name, path and line.
+
+    With ``grams`` (``trigrams.postings``) only the postings of the query's trigrams are read to find the names.
+    """
+    if grams is None:
+        hit = symbols.where(name_matches(F.col("name"), query))
+    else:
+        hit = symbols.join(names_like(grams, "symbol", name_pattern(query)), ["name", "file_id"], "left_semi")
     if kind:
         hit = hit.where(F.col("kind") == kind)
     placed = hit.join(files.where(path_under(F.col("path"), scope)).select("file_id", "path"), "file_id")
@@ -84,7 +91,11 @@ def unused_code(symbols: DataFrame, files: DataFrame, refs: DataFrame, imports:
     return left.select("path", "name", "kind", "start_line", "end_line").orderBy("path", "start_line", "name").limit(limit)
 
 
-def calls_like(calls: DataFrame, symbols: DataFrame, files: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
+def calls_like(calls: DataFrame, symbols: DataFrame, files: DataFrame, patterns: tuple[str, ...], grams: DataFrame | None = None) -> DataFrame:
+    """Calls whose name fits a pattern; with ``grams`` the names are found by their postings."""
+    if grams is not None:
+        named = names_like_any(grams, "call", patterns).withColumnRenamed("name", "callee_name")
+        calls = calls.join(named, ["callee_name", "file_id"], "left_semi")
     return callers(calls, symbols, files).where(ilike_any(F.col("callee_name"), patterns)).distinct().orderBy("path", "line", "callee_name", "caller")
 
 
@@ -101,13 +112,13 @@ def search_by_pattern(index, pattern: str) -> DataFrame:
     i = index
     shape = lambda df, **c: df.select("path", *[(c[k] if k in c else F.lit(None).cast(t)).alias(k) for k, t in (("line", "int"), ("name", "string"), ("caller", "string"))])
     if pattern in ("http_calls", "env_access"):
-        found = calls_like(i.calls, i.symbols, i.files, HTTP_CALLS if pattern == "http_calls" else ENV_ACCESS)
+        found = calls_like(i.calls, i.symbols, i.files, HTTP_CALLS if pattern == "http_calls" else ENV_ACCESS, i.grams)
         return shape(found, line=F.col("line"), name=F.col("callee_name"), caller=F.col("caller")).orderBy("path", "line", "name")
     if pattern == "async_functions":
         found = i.symbols.where("kind = 'function'").where(ilike(F.col("signature"), "async %")).join(i.files.select("file_id", "path"), "file_id")
         return shape(found, line=F.col("start_line"), name=F.col("name")).orderBy("path", "line", "name")
     if pattern == "error_handlers":
-        by_call = calls_like(i.calls, i.symbols, i.files, ERROR_CALLS)
+        by_call = calls_like(i.calls, i.symbols, i.files, ERROR_CALLS, i.grams)
         first = by_call.groupBy("path", F.col("caller").alias("name")).agg(F.min("line").alias("line"))
         by_term = files_with_terms(i.tfidf, i.files, ERROR_TERMS).join(by_call.select("path").distinct(), "path", "left_anti")
         return shape(first, line=F.col("line"), name=F.col("name")).unionByName(shape(by_term, name=F.lit("(try/catch)"))).orderBy("path", "line", "name")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.extract import extract
 from lodestone.functions.text import content_hash, language, line_count
 from lodestone.operators.search import inverse_frequencies, term_frequencies
+from lodestone.operators.trigrams import postings
 from lodestone.plans.incremental import content_status, file_status
 from lodestone.plans.resolve import resolved
 from lodestone.schema import EXTRACTED, Index, schema
@@ -83,8 +84,9 @@ def tables_of(read: DataFrame, found: DataFrame, whole: DataFrame, aliases: tupl
     refs = found.select(file_id().alias("file_id"), F.explode("x.refs").alias("name")).dropDuplicates(["file_id", "name"])
     kept = read.select(file_id().alias("file_id"), "content")
     tf = term_frequencies(kept)
+    grams = postings(symbols, "symbol").unionByName(postings(calls.select(F.col("callee_name").alias("name"), "file_id"), "call"))
     spark = read.sparkSession
-    return Index(files, symbols, imports, exports, calls, refs, tf, spark.createDataFrame([], schema("idf")), spark.createDataFrame([], schema("sessions")), kept)
+    return Index(files, symbols, imports, exports, calls, refs, tf, spark.createDataFrame([], schema("idf")), spark.createDataFrame([], schema("sessions")), kept, grams)
 
 
 def with_idf(index: Index) -> Index:

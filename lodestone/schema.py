@@ -21,6 +21,7 @@ DDL = {
     "idf": "term STRING, idf DOUBLE",
     "sessions": "session_id LONG, started_at LONG, ended_at LONG, file_snapshot STRING",
     "contents": "file_id LONG, content STRING",
+    "grams": "gram STRING, name STRING, kind STRING, file_id LONG",
 }
 #: What an extractor returns for one file.
 EXTRACTED = (
@@ -49,6 +50,7 @@ class Index:
     idf: DataFrame
     sessions: DataFrame
     contents: DataFrame
+    grams: DataFrame
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Index:

@@ -33,7 +33,7 @@ BUCKETS = 16
 FOLD = 24
 
 FREQUENCY = "term STRING, n LONG"
-PER_FILE = ("files", "symbols", "imports", "exports", "calls", "refs", "tfidf", "contents")
+PER_FILE = ("files", "symbols", "imports", "exports", "calls", "refs", "tfidf", "contents", "grams")
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
@@ -152,7 +152,7 @@ class Store:
         meta, version = self._meta(), f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         at = {t: dict(v) for t, v in meta.get("at", {}).items()}
         named = [t for t in dict.fromkeys((*tables, *(t for t in DDL if t not in at))) if t != "idf"]
-        sort = {"files": "path", "symbols": "name", "calls": "callee_name", "tfidf": "term", "refs": "name"}
+        sort = {"files": "path", "symbols": "name", "calls": "callee_name", "tfidf": "term", "refs": "name", "grams": "gram"}
         for table in named:
             df = getattr(index, table).select(*schema(table).fieldNames())
             if table not in PER_FILE:

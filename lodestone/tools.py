@@ -51,7 +51,7 @@ def reindex(project: Project, path: str | None = None, now_ms: int = 0) -> str:
 
 
 def find_symbol(index: Index, query: str, kind: str | None = None, scope: str | None = None) -> str:
-    rows = L.find_symbol(index.symbols, index.files, query, kind, scope)
+    rows = L.find_symbol(index.symbols, index.files, query, kind, scope, grams=index.grams)
     return _lines("{n} symbol(s)", rows, lambda r: f"  {r['kind']} {r['name']}{r['signature'] or ''}  {r['path']}:{r['start_line']}-{r['end_line']}{' (exported)' if r['is_exported'] else ''}", f"No symbol matches {query!r}")
 
 
