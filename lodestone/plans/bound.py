@@ -19,6 +19,8 @@ from lodestone.operators import context as X
 from lodestone.operators import graph as G
 from lodestone.operators import lookup as L
 from lodestone.operators import search as S
+from lodestone.operators.folders import changes_by_folder
+from lodestone.operators.trigrams import postings
 from lodestone.plans import incremental as I
 from lodestone.sources.store import last_wins, upsert
 from lodestone.streaming.events import coalesced, listing_events
@@ -236,6 +238,14 @@ def files_with_terms(spark, d):
     return L.files_with_terms(S.term_frequencies(docs, "doc_id", "text"), files, ("license", "todo", "apache"))
 
 
+@bound(SQL["find_symbol"])
+def find_symbol_by_trigrams(spark, d):
+    """The same names by the postings of their trigrams."""
+    files, symbols = _parts(spark, d)
+    found = L.find_symbol(symbols, files, "R*w*", "economy", "brand#1", limit=1000, grams=postings(symbols, "symbol"))
+    return found.select("name", "kind", "path", "start_line", "symbol_id")
+
+
 @bound("""SELECT DISTINCT event_type AS callee_name, 'u' || user_id AS caller, (user_id % 9)::VARCHAR AS path, (value::INTEGER) AS line FROM events
 WHERE event_type ILIKE 'err%' OR event_type ILIKE 'SIGN%'""")
 def calls_like(spark, d):
@@ -257,6 +267,18 @@ def snapshot_changes(spark, d):
     return C.changes(state(e.where("ts >= timestamp'2024-01-15'")), state(e.where("ts < timestamp'2024-01-15'")))
 
 
+@bound(r"""WITH p AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, page_id, md5(html) AS h FROM pages),
+a AS (SELECT path, max(CASE WHEN page_id % 7 = 3 THEN 'new' ELSE h END) AS h FROM p WHERE page_id % 11 <> 5 GROUP BY path), b AS (SELECT path, max(h) AS h FROM p WHERE page_id % 13 <> 6 GROUP BY path)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
+def snapshot_changes_by_folder(spark, d):
+    """Pages as files in folders: some gone, some new, some changed; compared by folder digests."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    pages = table(spark, d, "pages").select(path.alias("path"), "page_id", F.md5("html").alias("h"))
+    state = lambda df, h: df.groupBy("path").agg(F.max(h).alias("hash")).withColumn("symbols", F.array().cast("array<string>"))
+    now = state(pages.where("page_id % 11 <> 5"), F.when(F.col("page_id") % 7 == 3, "new").otherwise(F.col("h")))
+    return changes_by_folder(now, state(pages.where("page_id % 13 <> 6"), F.col("h"))).select("path", "change")
+
+
 @bound("""SELECT 'd' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN n_chars > 5000 THEN 'too_large' WHEN doc_id % 3 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0 THEN 'read' ELSE 'unchanged' END AS status FROM documents
 WHERE NOT (doc_id % 5 = 0 AND doc_id % 7 = 0)""")
 def incremental_status(spark, d):
