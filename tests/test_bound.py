@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.plans import bound, bound_code  # noqa: F401  registers
+from lodestone.plans import bound, bound_code, bound_runs  # noqa: F401  registers
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
