@@ -9,9 +9,9 @@ an odd ``m(i) . v``. Bits where two fingerprints differ are at most ``radius``
 many, so some ``v`` is orthogonal to all their vectors, and under that mask the
 two agree: no pair within the radius is lost.
 
-Work is on distinct fingerprints; copies of a text cost one row. A bucket of up
-to ``bucket_limit`` fingerprints is searched in one task, which emits a spanning
-forest and not its pairs. A larger bucket is dealt over the cluster instead:
+Work is on distinct fingerprints; copies of a text cost one row. Buckets are counted
+first, combined before the shuffle. One of up to ``bucket_limit`` fingerprints is searched in one task, which emits a spanning
+forest and not its pairs. A larger one is never gathered:
 its members are keyed by every choice of ``radius`` cleared bits outside the
 mask. Members under one key differ in those bits only, so they are at most
 2^radius, all linked, and one star joins them.
@@ -100,20 +100,16 @@ def _forest(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _search(radius: int, bucket_limit: int):
-    """Runs of equal (mask, key), sorted: links of the small, members of the large."""
+def _search(radius: int):
+    """Links inside runs of equal (mask, key), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
 
-        def out(rows: list, mask: int | None) -> pa.RecordBatch:
-            a = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            b = np.array([r[1] for r in rows], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([mask] * len(rows), pa.int32()), pa.array(a), pa.array(b)], ["mask", "a", "b"])
-
         def close() -> Iterator[pa.RecordBatch]:
-            if 1 < size <= bucket_limit and (rows := _forest(np.unique(np.concatenate(held)), radius)):
-                yield out(rows, None)
+            if size > 1 and (rows := _forest(np.unique(np.concatenate(held)), radius)):
+                ends = np.array(rows, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         for batch in batches:
             mask = batch.column(0).to_numpy(zero_copy_only=False)
@@ -128,10 +124,6 @@ def _search(radius: int, bucket_limit: int):
                     key, held, size = this, [], 0
                 size += e - s
                 held.append(fp[s:e])
-                if size > bucket_limit:
-                    for part in held:
-                        yield out([(x, x) for x in part], int(key[0]))
-                    held = []
         yield from close()
 
     return run
@@ -156,9 +148,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket_limit: int =
     masks = covering_masks(radius)
     table = F.array(*[F.lit(_signed(m)) for m in masks])
     keyed = distinct.select("fp", F.posexplode(table).alias("mask", "bits")).select("mask", F.expr("fp & bits").alias("key"), "fp")
-    runs = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    found, _ = keep(runs.mapInArrow(_search(radius, bucket_limit), "mask int, a long, b long"), "near")
-    large = found.where("mask is not null").select("mask", "a")
+    crowded, _ = keep(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit).drop("n"), "crowded")
+    # Small buckets meet in a task. A large one never does: its members are joined where they are, which can be split.
+    runs = keyed.join(crowded, ["mask", "key"], "left_anti").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    found = runs.mapInArrow(_search(radius), "a long, b long")
+    large = keyed.join(crowded, ["mask", "key"], "left_semi").select("mask", "fp")
     stars = (
         large.mapInArrow(_cleared(masks, radius), "choice long, rest long, fp long")
         .groupBy("choice", "rest")
@@ -167,13 +161,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 3, bucket_limit: int =
         .select("a", F.explode("all").alias("b"))
         .where("a <> b")
     )
-    return found.where("mask is null").select("a", "b").unionByName(stars)
+    return found.unionByName(stars)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket_limit: int) -> DataFrame:
     """``(id, h, fp, component_id)`` of every row."""
     fps, _ = keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    owners = fps.groupBy("fp").agg(F.min("id").alias("owner"))
+    owners, _ = keep(fps.groupBy("fp").agg(F.min("id").alias("owner")), "owners")
     linked = connected_components(fingerprint_links(owners.select("fp"), radius, bucket_limit))
     groups = owners.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
     named = groups.groupBy("component").agg(F.min("owner").alias("component_id"))
