@@ -73,8 +73,9 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     kind = CLASS[data]
     length = np.maximum(np.bincount(bag_of_byte, minlength=total), 1).astype(np.float32)[:, None]
     out[:, :CLASSES] = np.bincount(bag_of_byte * CLASSES + kind, minlength=total * CLASSES).reshape(total, -1) / length
-    pair = (kind[:-1] * 61 + kind[1:] * 7) % PAIRS
-    out[:, CLASSES : CLASSES + PAIRS] = np.bincount(bag_of_byte[1:] * PAIRS + pair, minlength=total * PAIRS).reshape(total, -1) / length
+    before = np.concatenate((CLASS[[32]], kind[:-1]))  # a space is before every text, the first too, so a score is the same in any batch
+    pair = (before * 61 + kind * 7) % PAIRS
+    out[:, CLASSES : CLASSES + PAIRS] = np.bincount(bag_of_byte * PAIRS + pair, minlength=total * PAIRS).reshape(total, -1) / length
     if len(start):
         place = np.arange(len(data)) - start[np.maximum(word_of_byte, 0)]
         salted = np.where(solid, _SALT[np.minimum(place, 31) & 31, LOWER[data]], np.uint64(0))
@@ -94,6 +95,8 @@ def encode(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         out[:, -3] = np.bincount(bag_of_byte[solid], minlength=total) / words / 8
         out[:, -2] = np.log1p(words) / 5
         out[:, -1] = np.repeat(np.log1p(n_words) / 10, bags)
+    else:
+        out[:, -2] = np.log1p(1) / 5  # as a text without words has it among others
     return out, bags
 
 
