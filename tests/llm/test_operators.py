@@ -422,5 +422,5 @@ def test_scan_of_flat_files(spark, tmp_path, block):
 def test_queries_and_sql_fit():
     from lodestone.llm import queries
 
-    assert len(queries.queries()) == 10 and set(queries.oracle_sql()) <= set(queries.queries())
+    assert len(queries.queries()) == 13 and set(queries.oracle_sql()) <= set(queries.queries())
     assert json.dumps(queries.oracle_sql())
