@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,35 @@ WRITING = {
 }
 
 
+#: Names of bucketed scratch tables in the catalog, by path.
+_named: dict[str, str] = {}
+
+_turn = threading.Lock()
+_writers: dict[int, int] = {}
+_before: dict[int, dict[str, str | None]] = {}
+
+
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """``WRITING`` holds while a session writes: the first of several writers sets it, the last one puts back what was there."""
+    own = id(spark)
+    with _turn:
+        if not _writers.get(own):
+            _before[own] = {k: spark.conf.get(k, None) for k in WRITING}
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _writers[own] = _writers.get(own, 0) + 1
+    try:
+        yield
+    finally:
+        with _turn:
+            _writers[own] -= 1
+            if not _writers[own]:
+                del _writers[own]
+                for k, v in _before.pop(own).items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
@@ -58,29 +90,38 @@ def keep(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, s
     table by, so that later joins on it move only their other side.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, label), {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    path = scratch_path(spark, label)
+    with _writing(spark):
         write = df.write.option("compression", "zstd")
         if by is None:
             write.parquet(path)
             return spark.read.schema(df.schema).parquet(path), path
-        name = f"lodestone_{path.rsplit('-', 1)[1]}"
+        name = _named[path] = f"lodestone_{path.rsplit('-', 1)[1]}"
         write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(name)
         return spark.table(name), path
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _folder(spark: SparkSession, path: str):
+    """A folder's file system and its path there, in Hadoop's terms."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.mkdirs(where)
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a scratch table that no later plan reads, and its name if it was bucketed."""
+    if (name := _named.pop(path, None)) is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    files, where = _folder(spark, path)
+    files.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, once results are stored."""
+    for path in list(_named):
+        drop(spark, path)
     drop(spark, f"{scratch_root(spark)}/{spark.sparkContext.applicationId}")
