@@ -8,13 +8,15 @@ of its separators. Running sums over the blocks of a file (a prefix scan) give
 each block the tokens, documents and last separator before it, and so stitch
 the documents that cross block boundaries.
 
-``write_tokens`` makes such files from texts: every task writes its documents as
-a stream of blocks, and beside it a manifest of document ids in order; a file
-ends after ``FILE_BLOCKS`` blocks, so a running sum never covers more than that.
-``read_files`` reads flat binary files through Spark.
+``write_tokens`` makes such files from texts in the shared folder: every task writes its
+documents one after another and gives a manifest of their ids in order; a file ends with the
+document that reaches ``FILE_BLOCKS`` blocks, so a running sum covers little more than that. A
+file is named by the attempt of its task, and only files of the manifest are counted: what a lost
+executor left behind, or an attempt that was run again, is not. Tasks write by Arrow's file
+systems (``file``, ``hdfs``, ``s3``/``s3a``, ``gs``), as Spark has no writer of flat binary files; ``read_files`` reads by Spark.
 
 Cases: a null or blank text has no token; tokens after a file's last separator
-are a document that is not ``closed``; two separators side by side hold an empty
+are a document that is not ``closed``; bytes at its end too few for an id are not read; two separators side by side hold an empty
 document; ids may be null or repeat: they are told apart by file and place; an
 empty table gives an empty result; other columns are not read.
 """
@@ -22,6 +24,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,24 +35,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import keep, scratch_path
+from lodestone.llm.common import keep, make_folder, scratch_path
 
 BLOCK_TOKENS = 1 << 18
-FILE_BLOCKS = 256
+FILE_BLOCKS = 64
 CACHED_PIECES = 200_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of this family of byte-level tokenizers.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def _content(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 class Tokenizer:
     """Byte-level BPE ids of texts; pieces seen before come from a bounded cache."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str | bytes):
+        """``vocabulary``: the vocabulary file's path or content."""
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        content = _content(vocabulary) if isinstance(vocabulary, str) else vocabulary
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, content.splitlines()))}
         self.end = len(ranks)
         self.split = regex.compile(PATTERN).findall
         self.encode = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -72,65 +81,53 @@ def id_type(n_ids: int) -> str:
     return "<u2" if n_ids <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame, int]:
-    """Blocks ``(file, block, payload)``, manifest ``(file, place, id)``, and the separator."""
+def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> tuple[str, DataFrame, int]:
+    """Folder of token files, manifest ``(file, place, id)`` with the files' numbers, and the separator.
+
+    The driver reads the vocabulary (one file of about a megabyte) and sends it to the executors.
+    """
+    spark, content = docs.sparkSession, _content(vocabulary)
+    folder, sent, most = scratch_path(spark, "token-files"), spark.sparkContext.broadcast(content), BLOCK_TOKENS * FILE_BLOCKS
+    make_folder(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(vocabulary)
+        tokens = Tokenizer(sent.value)
         kind = id_type(tokens.end + 1)
-        # Partition number and file number make a name that a retried task repeats.
-        file, block, place = TaskContext.get().partitionId() << 32, 0, 0
-        parts: list[np.ndarray] = []
-        held = 0
-
-        def out(payload: np.ndarray | None, ids: pa.Array | None, first: int) -> pa.RecordBatch:
-            n = 1 if payload is not None else len(ids)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file] * n, pa.int64()),
-                    pa.array([block if payload is not None else None] * n, pa.int64()),
-                    pa.array([payload.tobytes() if payload is not None else None] * n, pa.binary()),
-                    pa.array([None] if payload is not None else range(first, first + n), pa.int64()),
-                    pa.nulls(1, kept) if payload is not None else ids,
-                ],
-                ["file", "block", "payload", "place", "id"],
-            )
-
-        for batch in batches:
-            kept, done = batch.column(0).type, 0
-            texts = batch.column(1).to_pylist()
-            for k, text in enumerate(texts):
-                ids = np.array([*tokens.ids(text or ""), tokens.end], kind)
-                parts.append(ids)
-                held += len(ids)
-                if held >= BLOCK_TOKENS:
-                    flat = np.concatenate(parts)
-                    while len(flat) >= BLOCK_TOKENS:
-                        yield out(flat[:BLOCK_TOKENS], None, 0)
-                        block, flat = block + 1, flat[BLOCK_TOKENS:]
-                    parts, held = [flat], len(flat)
-                    if block >= FILE_BLOCKS:  # the file ends with a document
-                        if len(flat):
-                            yield out(flat, None, 0)
-                        yield out(None, batch.column(0).slice(done, k + 1 - done), place)
-                        file, block, place, done, parts, held = file + 1, 0, 0, k + 1, [], 0
-            if done < len(texts):
-                yield out(None, batch.column(0).slice(done), place)
-                place += len(texts) - done
-        if held:
-            yield out(np.concatenate(parts), None, 0)
+        file, place, held, out = TaskContext.get().taskAttemptId() << 24, 0, 0, None
+        to, where = _file_system(folder)
+
+        def noted(ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(ids), pa.int64()), pa.array(range(place, place + len(ids)), pa.int64()), ids], ["file", "place", "id"])
+
+        try:
+            for batch in batches:
+                done = 0
+                for k, text in enumerate(batch.column(1)):
+                    ids = np.array([*tokens.ids(text.as_py() or ""), tokens.end], kind)
+                    out = out or to.open_output_stream(f"{where}/{file}.tokens")
+                    out.write(ids.tobytes())
+                    held += len(ids)
+                    if held >= most:
+                        out.close()
+                        yield noted(batch.column(0).slice(done, k + 1 - done))
+                        file, place, held, done, out = file + 1, 0, 0, k + 1, None
+                if done < batch.num_rows:
+                    yield noted(batch.column(0).slice(done))
+                    place += batch.num_rows - done
+        finally:
+            if out is not None:
+                out.close()
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = read.mapInArrow(run, f"file long, block long, payload binary, place long, id {read.schema['id'].dataType.simpleString()}")
-    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "tokens")
-    rows.write.option("compression", "zstd").parquet(path)
-    made = spark.read.schema(rows.schema).parquet(path)
-    return made.where("payload is not null").select("file", "block", "payload"), made.where("place is not null").select("file", "place", "id"), _end(vocabulary)
+    manifest, _ = keep(read.mapInArrow(run, f"file long, place long, id {read.schema['id'].dataType.simpleString()}"), "manifest")
+    return folder, manifest, sum(1 for line in content.splitlines() if line.strip())
+
 
+def _file_system(folder: str):
+    """Arrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
 
-def _end(vocabulary: str) -> int:
-    with open(vocabulary, "rb") as lines:
-        return sum(1 for line in lines if line.strip())
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if "://" in folder else f"file://{re.sub('^file:', '', folder)}")
 
 
 def read_files(spark: SparkSession, path: str, kind: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -150,11 +147,13 @@ def read_files(spark: SparkSession, path: str, kind: str = "<u2", block_tokens:
 def scan(blocks: DataFrame, ends: tuple[int, ...], kind: str = "<u2") -> DataFrame:
     """``(file, place, n_tokens, closed)`` of every document in ``blocks(file, block, payload)``."""
 
+    size = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, found = [], []
             for payload in batch.column(2):
-                ids = np.frombuffer(payload.as_buffer(), kind) if payload.is_valid else np.empty(0, kind)
+                ids = np.frombuffer(payload.as_buffer(), kind, payload.as_buffer().size // size) if payload.is_valid else np.empty(0, kind)
                 n.append(len(ids))
                 found.append(np.flatnonzero(ids == ends[0] if len(ends) == 1 else np.isin(ids, ends)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["file", "block", "n", "ends"])
@@ -177,6 +176,8 @@ def scan(blocks: DataFrame, ends: tuple[int, ...], kind: str = "<u2") -> DataFra
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(id, n_tokens)`` of every row, by writing token files and scanning them."""
-    blocks, manifest, end = write_tokens(docs, id_col, text_col, vocabulary)
-    found = scan(blocks, (end,), id_type(end + 1))
+    folder, manifest, end = write_tokens(docs, id_col, text_col, vocabulary)
+    kind = id_type(end + 1)
+    found = scan(read_files(docs.sparkSession, folder, kind, BLOCK_TOKENS), (end,), kind)
+    found = found.withColumn("file", F.regexp_extract("file", r"(\d+)\.tokens$", 1).cast("long"))
     return manifest.join(found, ["file", "place"]).select(F.col("id").alias(id_col), "n_tokens")
