@@ -13,7 +13,8 @@ distinct five-word shingles found there, each weighing ln(1 + items / items
 with it), has to reach ``similarity``. These counts are of the whole benchmark. An item shorter than a shingle is one.
 
 The benchmark is read on the driver in slices of at most ``SLICE_ITEMS`` items
-and ``SLICE_BYTES`` of text, and only a slice is sent to the executors. Only the
+and ``SLICE_BYTES`` of text, each sent to the executors by itself. Documents are read once: each
+batch is held against slice after slice, and a worker holds one slice at a time. Only the
 benchmark's shingles are shuffled, to count them. Documents are searched in segments of bounded size.
 
 Words: A-Z lower-cased, ASCII punctuation deleted. Cases: null and blank texts
@@ -30,8 +31,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.common import keep
 from lodestone.llm.words import gram_hashes, plain_words, word_hashes
@@ -249,39 +252,49 @@ def _slices(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
         yield build_index(held, seen, total)
 
 
+def _searched(slices: list[Broadcast], texts: list[bytes | None], similarity: float) -> list[list[tuple[object, float, int, int]]]:
+    """The hits of each text in all slices; a worker holds one slice at a time."""
+    found: list[list] = [[] for _ in texts]
+    for sent in slices:
+        for hits, more in zip(found, search(sent.value, texts, similarity)):
+            hits += more
+        if len(slices) > 1:
+            vars(sent).pop("_value", None)
+    return found
+
+
+def _sent(bench: DataFrame, id_col: str, text_col: str) -> list[Broadcast]:
+    send = bench.sparkSession.sparkContext.broadcast
+    return [send(index) for index in _slices(bench, id_col, text_col)]
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
     """``(id, item, similarity, first_word, n_words)`` of every benchmark item in every document."""
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    schema = f"id {read.schema['id'].dataType.simpleString()}, item {bench.schema[item_col].dataType.simpleString()}, similarity double, first_word long, n_words long"
-    spark, out = docs.sparkSession, None
-    for index in _slices(bench, item_col, item_text):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = search(sent.value, batch.column(1).to_pylist(), similarity)
-                rows = [(k, *hit) for k, hits in enumerate(found) for hit in hits]
+    item_type = bench.schema[item_col].dataType
+    schema = f"id {read.schema['id'].dataType.simpleString()}, item {item_type.simpleString()}, similarity double, first_word long, n_words long"
+    slices, types = _sent(bench, item_col, item_text), (to_arrow_type(item_type), pa.float64(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _searched(slices, batch.column(1).to_pylist(), similarity)
+            rows = [(k, *hit) for k, hits in enumerate(found) for hit in hits]
+            if rows:
                 taken = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                columns = [pa.array([r[i] for r in rows], batch_type) for i, batch_type in ((1, None), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([taken, *columns], ["id", "item", "similarity", "first_word", "n_words"])
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types, 1)]
+                yield pa.RecordBatch.from_arrays([taken, *columns], ["id", "item", "similarity", "first_word", "n_words"])
 
-        part = read.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    out = spark.createDataFrame([], schema) if out is None else out
+    out = read.mapInArrow(run, schema) if slices else docs.sparkSession.createDataFrame([], schema)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word", "n_words")
 
 
 def drop_leaked(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns."""
-    out, at = docs, docs.columns.index(text_col)
-    for index in _slices(bench, item_col, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    at, slices = docs.columns.index(text_col), _sent(bench, item_col, item_text)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = search(sent.value, batch.column(at).cast(pa.binary()).to_pylist(), similarity)
-                yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _searched(slices, batch.column(at).cast(pa.binary()).to_pylist(), similarity)
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    return docs.mapInArrow(run, docs.schema) if slices else docs
