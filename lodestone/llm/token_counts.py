@@ -12,8 +12,8 @@ the documents that cross block boundaries.
 documents one after another and gives a manifest of their ids in order; a file ends with the
 document that reaches ``FILE_BLOCKS`` blocks, so a running sum covers little more than that. A
 file is named by the attempt of its task, and only files of the manifest are counted: what a lost
-executor left behind, or an attempt that was run again, is not. Tasks write by Arrow's file
-systems (``file``, ``hdfs``, ``s3``/``s3a``, ``gs``), as Spark has no writer of flat binary files; ``read_files`` reads by Spark.
+executor left behind, or an attempt that was run again, is not. Tasks write, and read a block at
+a time, by Arrow's file systems (``file``, ``hdfs``, ``s3``/``s3a``, ``gs``), as Spark has no writer of flat binary files.
 
 Cases: a null or blank text has no token; tokens after a file's last separator
 are a document that is not ``closed``; bytes at its end too few for an id are not read; two separators side by side hold an empty
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import keep, make_folder, scratch_path
 
 BLOCK_TOKENS = 1 << 18
-FILE_BLOCKS = 64
+FILE_BLOCKS = 256
 CACHED_PIECES = 200_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of this family of byte-level tokenizers.
@@ -123,25 +123,35 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return folder, manifest, sum(1 for line in content.splitlines() if line.strip())
 
 
-def _file_system(folder: str):
-    """Arrow's file system of a folder, and the folder's path in it."""
+def _file_system(path: str):
+    """Arrow's file system of a path, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder) if "://" in folder else f"file://{re.sub('^file:', '', folder)}")
+    if path.startswith("/") or path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
 
 
 def read_files(spark: SparkSession, path: str, kind: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the flat binary files under ``path`` (2 GB a file at most); ``file`` is the path."""
+    """Blocks of the flat binary files under ``path``, of any size; ``file`` is the path.
+
+    Spark lists the files and deals them to tasks by size; a task reads a block at a time.
+    """
     size = np.dtype(kind).itemsize * block_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                view = memoryview(content.as_buffer())
-                for k in range(0, len(view), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([bytes(view[k : k + size])], pa.binary())], ["file", "block", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, payload binary")
+            for name in batch.column(0).to_pylist():
+                of, where = _file_system(name)
+                with of.open_input_stream(where) as file:
+                    k = 0
+                    while payload := file.read(size):
+                        while len(payload) < size and (more := file.read(size - len(payload))):  # a remote read may be short
+                            payload += more
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+                        k += 1
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "file string, block long, payload binary")
 
 
 def scan(blocks: DataFrame, ends: tuple[int, ...], kind: str = "<u2") -> DataFrame:
