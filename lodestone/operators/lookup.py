@@ -21,7 +21,7 @@ PATTERNS = ("http_calls", "env_access", "async_functions", "error_handlers", "to
 
 
 def find_symbol(symbols: DataFrame, files: DataFrame, query: str, kind: str | None = None, scope: str | None = None, limit: int = 100, grams: DataFrame | None = None) -> DataFrame:
-    """Definitions whose name matches, in order of name, path and line.
+    """Definitions whose name matches, in order of name, path, line and kind; the symbol's id decides ties, so a cut list is one.
 
     With ``grams`` (``trigrams.postings``) only the postings of the query's trigrams are read to find the names.
     """
@@ -32,7 +32,7 @@ def find_symbol(symbols: DataFrame, files: DataFrame, query: str, kind: str | No
     if kind:
         hit = hit.where(F.col("kind") == kind)
     placed = hit.join(files.where(path_under(F.col("path"), scope)).select("file_id", "path"), "file_id")
-    return placed.select("symbol_id", "file_id", "name", "kind", "path", "start_line", "end_line", "is_exported", "signature", "doc").orderBy("name", "path", "start_line", "kind").limit(limit)
+    return placed.select("symbol_id", "file_id", "name", "kind", "path", "start_line", "end_line", "is_exported", "signature", "doc").orderBy("name", "path", "start_line", "kind", "symbol_id").limit(limit)
 
 
 def importers_of(imports: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:

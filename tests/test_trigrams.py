@@ -44,3 +44,12 @@ def test_only_matching_postings_are_read(spark, tmp_path):
     for pattern in ("http_calls", "env_access"):
         by_scan = L.calls_like(i.calls, i.symbols, i.files, L.HTTP_CALLS if pattern == "http_calls" else L.ENV_ACCESS)
         assert [r["callee_name"] for r in by_scan.collect()] == [r["name"] for r in L.search_by_pattern(i, pattern).collect()]
+
+
+def test_the_id_decides_ties_of_a_cut_list(spark):
+    """Names of one file, kind and line: which of them a limit leaves is the same however the rows lie."""
+    rows = [(k, 1, "twin", "function", 3, 4, True, None, "", k) for k in (*range(40, 60), *range(40))]
+    symbols = spark.createDataFrame(rows, "symbol_id long, file_id long, name string, kind string, start_line int, end_line int, is_exported boolean, signature string, doc string, seq int").coalesce(1)
+    files = spark.createDataFrame([(1, "a.py")], "file_id long, path string")
+    for grams in (None, postings(symbols, "symbol")):
+        assert [r["symbol_id"] for r in L.find_symbol(symbols, files, "tw*", limit=10, grams=grams).collect()] == list(range(10))
