@@ -60,4 +60,11 @@ def names_like(found: DataFrame, kind: str, pattern: str) -> DataFrame:
 
 
 def names_like_any(found: DataFrame, kind: str, patterns: tuple[str, ...]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [names_like(found, kind, p) for p in patterns]).distinct()
+    """Those that match any of the patterns; the postings of all trigrams asked for are read once."""
+    asked = {p: required(p) for p in patterns}
+    held = found.where(F.col("kind") == kind)
+    if all(asked.values()):  # else a pattern wants every name
+        held = held.where(F.col("gram").isin(sorted({g for grams in asked.values() for g in grams})))
+    counts = [F.count(F.when(F.col("gram").isin(grams), 1)).alias(f"n{k}") for k, grams in enumerate(asked.values())]
+    fits = [(F.col(f"n{k}") == len(grams)) & ilike(F.col("name"), p) for k, (p, grams) in enumerate(asked.items())]
+    return held.groupBy("name", "file_id").agg(*counts).where(reduce(lambda a, b: a | b, fits)).select("name", "file_id")

@@ -36,6 +36,8 @@ def extracted(files: DataFrame) -> DataFrame:
     """``(path, lang, x, error)`` from ``(path, content)``: what each file's extractor found.
 
     A file on which its extractor fails has a null ``x`` and the error's text; the others go on.
+    Files are dealt over tasks by number first: extraction takes far longer than their bytes tell, by which
+    adaptive execution would put them in few.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -54,7 +56,9 @@ def extracted(files: DataFrame) -> DataFrame:
                     errors.append(f"{type(error).__name__}: {error}")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind), pa.array(errors, pa.string())], ["path", "lang", "x", "error"])
 
-    return files.select("path", language(F.col("path")).alias("lang"), "content").mapInArrow(run, f"path string, lang string, x {EXTRACTED}, error string")
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return files.select("path", language(F.col("path")).alias("lang"), "content").repartition(tasks, "path").mapInArrow(run, f"path string, lang string, x {EXTRACTED}, error string")
 
 
 def file_id(path="path"):

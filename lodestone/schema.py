@@ -50,7 +50,7 @@ class Index:
     idf: DataFrame
     sessions: DataFrame
     contents: DataFrame
-    grams: DataFrame
+    grams: DataFrame | None  # none: names are scanned
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Index:
