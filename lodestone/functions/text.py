@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CASE_EDGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z0-9])(?=[A-Z][a-z])"
+#: Both edges stand before a capital, which is looked for first: it fails fast at most places.
+_CASE_EDGE = r"(?=[A-Z])(?:(?<=[a-z])|(?<=[A-Z0-9])(?=[A-Z][a-z]))"
 _NOT_ALNUM = r"[^A-Za-z0-9]+"
 #: Extensions and the grammar each one selects.
 LANGUAGES = {

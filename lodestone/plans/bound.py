@@ -57,9 +57,9 @@ _ASKED = "license version stupid disgusting"
 WHERE term IN ({", ".join(repr(w) for w in _ASKED.split())}) GROUP BY doc_id ORDER BY sum(tf * idf) DESC, doc_id LIMIT 20""")
 def search_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    tf = S.term_frequencies(docs, "doc_id", "text")
     terms = sorted(set(T.tokens_of(_ASKED)))
-    idf = S.inverse_frequencies(tf.where(F.col("term").isin(terms)), docs.count())
+    tf = S.term_frequencies(docs, "doc_id", "text").where(F.col("term").isin(terms)).persist()  # a few rows a document; texts are read once for both uses
+    idf = S.inverse_frequencies(tf, docs.count())
     best = S.scores(tf, idf, _ASKED).orderBy(F.desc("score"), "file_id").limit(20)
     return best.select("file_id", F.round("score", 6).alias("score"))
 
