@@ -46,3 +46,11 @@ def test_call_tree(spark):
 def test_every_pattern_has_rows(spark):
     rows = bound.QUERIES["code_patterns"](spark, DATA).groupBy("pattern").count().collect()
     assert {r["pattern"] for r in rows} == {"async_functions", "error_handlers", "http_calls", "env_access"} and all(r["count"] > 9 for r in rows)
+
+
+def test_the_derived_tree_is_planned_once(spark):
+    """The plans of the tree's tables and of its pattern search begin with the stored tree, and don't derive it again for each use."""
+    i = bound_code.derived_index(spark, DATA, marked=True)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (i.files, i.calls, i.symbols, bound.QUERIES["code_patterns"](spark, DATA))]
+    assert not any("o_custkey" in plan or "c_custkey" in plan for plan in plans)
+    assert len(plans[-1]) < 200_000, len(plans[-1])
